@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import mixing
 from .common import table
 
 
@@ -11,5 +12,11 @@ def op3_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_minhash": op3_minhash}
-ORACLES: dict[str, str] = {}
+def op1_mixing(spark, sf_dir):
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op3_minhash": op3_minhash}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}
