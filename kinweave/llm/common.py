@@ -109,11 +109,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, is_sep: np.ndarray = _IS_SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and per-text word offsets of the words in consecutive texts."""
     n = len(data)
     sep = np.ones(n + 1, bool)
-    sep[:n] = _IS_SEP[data]
+    sep[:n] = is_sep[data]
     begins = np.zeros(n + 1, bool)
     begins[offsets] = True
     inside = ~sep[:n]
@@ -125,9 +125,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return s, np.flatnonzero(ends) + 1, np.searchsorted(s, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, is_sep: np.ndarray = _IS_SEP) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and per-text word offsets. A-Z count as a-z with ``lower``."""
-    s, e, per = word_spans(data, offsets)
+    s, e, per = word_spans(data, offsets, is_sep)
     up, down = _power_tables(len(data) + 1)
     c = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_byte_values(lower)[data] * up[: len(data)], out=c[1:])

@@ -69,17 +69,17 @@ def finish_times(docs: DataFrame, carry: tuple[str, ...] = (), weights=WEIGHTS,
         *[F.col(c).alias(f"_carry_{c}") for c in carry],
     )
     light = rows.select("_key", "_hash", "size")
-    slices = light.groupBy("_key", F.substring("_hash", 1, 4).alias("slice")).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    slices = light.groupBy("_key", F.substring("_hash", 1, 3).alias("slice")).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     slices = cut(slices)
     per = targets(slices.groupBy(F.col("_key").alias("key")).agg(F.sum("words").alias("source_size"))).withColumnRenamed("key", "_key")
-    # 65,536 slices of the hash; neighbouring ones join to a range of about RANGE_ROWS rows
+    # 4,096 slices of the hash; neighbouring ones join to a range of about RANGE_ROWS rows
     in_source = Window.partitionBy("_key").orderBy("slice")
     ranged = slices.withColumn("range", F.floor((F.sum("n").over(in_source) - F.col("n")) / RANGE_ROWS))
     first = Window.partitionBy("_key").orderBy("range")
     sums = ranged.groupBy("_key", "range").agg(F.sum("words").alias("words"))
     sums = sums.select("_key", "range", (F.sum("words").over(first) - F.col("words")).alias("before"))
     where = cut(ranged.select("_key", "slice", "range").join(sums, ["_key", "range"]).join(per, "_key"))
-    dealt = rows.withColumn("slice", F.substring("_hash", 1, 4)).join(F.broadcast(where) if where.count() <= 500_000 else where, ["_key", "slice"])
+    dealt = rows.withColumn("slice", F.substring("_hash", 1, 3)).join(F.broadcast(where) if where.count() <= 500_000 else where, ["_key", "slice"])
     order = Window.partitionBy("_key", "range").orderBy("_hash", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     timed = dealt.withColumn("sent", F.col("before") + F.sum("size").over(order))
     target = F.nullif(F.col("target"), F.lit(0.0))

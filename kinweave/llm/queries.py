@@ -18,5 +18,15 @@ def op1_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op3_minhash": op3_minhash}
+def op2_decontamination(spark, sf_dir):
+    from .tiling import tile
+
+    return tile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_decontamination": op2_decontamination,
+    "op3_minhash": op3_minhash,
+}
 ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}
