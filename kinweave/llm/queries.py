@@ -24,9 +24,16 @@ def op2_decontamination(spark, sf_dir):
     return tile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op3_minhash": op3_minhash,
+    "op5_toxicity": op5_toxicity,
 }
 ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}
