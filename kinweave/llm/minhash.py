@@ -281,3 +281,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     member = marks.drop("minima").join(placed, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return member.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` without near duplicates: of each component the row whose doc_id is the smallest stays.
+
+    Of the rows of one doc_id one stays (that of the smallest text). Rows without a doc_id stay, as do
+    those of different ids without words.
+    """
+    found = cut(near_duplicates(docs, k, percent).where("doc_id is not null").groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count("*").alias("rows")))
+    apart = found.where(~F.col("kept") | (F.col("rows") > 1)).select("doc_id")
+    many = found.where(F.col("kept") & (F.col("rows") > 1)).select("doc_id")
+    if apart.count() <= BROADCAST_IDS:
+        apart, many = F.broadcast(apart), F.broadcast(many)
+    single = docs.join(apart, "doc_id", "left_anti").select(docs.columns)
+    one = F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")
+    return single.unionByName(docs.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(one).select("row.*"))

@@ -24,6 +24,12 @@ def op2_decontamination(spark, sf_dir):
     return tile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_pii(spark, sf_dir):
+    from .pii import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark, sf_dir):
     from .toxicity import toxicity
 
@@ -34,6 +40,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op3_minhash": op3_minhash,
+    "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
 }
 ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}
