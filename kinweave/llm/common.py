@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from functools import lru_cache
 
@@ -35,6 +36,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Arrow batches of texts are kept small: a worker holds a few copies of one.
+BATCH_ROWS, BATCH_BYTES = "1000", "4m"
+
+
+def _frugal(run):
+    """A worker that gives memory back: large arrays are mapped one by one, the rest is trimmed at
+    the end. Workers are reused, so what one keeps adds to what the next step needs."""
+
+    def wrapped(batches):
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
+def arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with small batches and frugal workers."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(_frugal(run), schema)
+
+
 def word_count(text) -> F.col:
     """Number of words in a text column; null counts 0. Stays inside generated JVM code."""
     t = F.coalesce(text, F.lit(""))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix, shingle_hashes, string_bytes, word_hashes
+from .common import arrow, chunks, cut, mix, shingle_hashes, string_bytes, word_hashes
 from .components import connected_components
 
 #: Minima, and rows of a band: a pair of similarity 0.75 misses all bands once in 190,000 times.
@@ -36,7 +36,7 @@ BLOCK = 256
 #: Ids up to this number are broadcast (16 bytes each) when texts are looked up.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that are hashed at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _SEED = np.arange(1, 2 * MINIMA + 1, dtype=np.uint64)
 _FACTORS = (mix(_SEED[:MINIMA] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -108,7 +108,7 @@ def _sketch(k: int):
 
 def sketch(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, a 128-bit fingerprint of the shingle set, and the minima."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch(k), SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(arrow, _sketch(k), SKETCH)
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -243,13 +243,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
         pairs.join(sig.select(F.col("node").alias("a"), F.col("minima").alias("sa")), "a")
         .join(sig.select(F.col("node").alias("b"), F.col("minima").alias("sb")), "b")
         .select("a", "b", "sa", "sb")
-        .mapInArrow(_agreeing, "a long, b long")
+        .transform(arrow, _agreeing, "a long, b long")
     )
     star = cut(
         pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "ta", "tb")
-        .mapInArrow(_confirm(k, percent), "a long, b long")
+        .transform(arrow, _confirm(k, percent), "a long, b long")
     )
     # one document with several texts is one node of the graph
     several = marks.where("n_shingles > 0 and doc_id is not null").join(nodes.select(*key, "node"), key).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
         .select("band", "bucket", "node", "component", "to.side", "text", "to.cell")
         .repartition("band", "bucket", "cell")
         .sortWithinPartitions("band", "bucket", "cell", "node")
-        .mapInArrow(_exhaust(k, percent), "a long, b long")
+        .transform(arrow, _exhaust(k, percent), "a long, b long")
     )
     if more.head(1):
         found = connected_components(star.unionByName(repeated).unionByName(more))

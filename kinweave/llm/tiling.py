@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, shingle_hashes, string_bytes, word_hashes
+from .common import arrow, chunks, shingle_hashes, string_bytes, word_hashes
 
 #: Tokens of the shortest tile.
 MIN_MATCH = 5
@@ -29,7 +29,7 @@ COVERAGE = 0.6
 MIN_ITEM = 5
 #: Bytes of benchmark text of which one index is made (about 40 bytes of index for each token).
 BLOCK_BYTES = 16 << 20
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 #: Tokens are runs of letters, digits and bytes above 127.
 _BREAKS = np.ones(256, bool)
@@ -158,7 +158,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, threshold:
     for b in range(blocks):
         own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select(F.col("item_id").cast("long"), "text").where("item_id is not null").collect()
         index = spark.sparkContext.broadcast(Index(sorted((r[0], r[1] or "") for r in own), k))
-        out = out.mapInArrow(_scan(index, k, threshold), out.schema)
+        out = out.transform(arrow, _scan(index, k, threshold), out.schema)
     return out
 
 

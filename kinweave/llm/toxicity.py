@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _power_tables, chunks, mix, string_bytes, word_spans
+from .common import _power_tables, arrow, chunks, mix, string_bytes, word_spans
 
 #: Labelled rows from which the classifier is fitted, at most.
 MAX_LABELS = 100_000
@@ -31,7 +31,7 @@ MAX_LABELS = 100_000
 BUCKETS, SELECTED = 1 << 18, 1024
 #: Bytes of a word's beginnings that are features besides the whole word.
 PREFIXES = (4, 6, 8, 10)
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 #: Letters that a sign resembles.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"}
@@ -80,7 +80,7 @@ def _count_trigrams(batches):
 
 def language_model(docs: DataFrame) -> np.ndarray:
     """Costs of a symbol after two others, from all texts, smoothed by the shorter contexts."""
-    rows = docs.select("text").mapInArrow(_count_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").transform(arrow, _count_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     c = np.zeros(SYMBOLS**3)
     for r in rows:  # at most 2^15
         c[r["code"]] = r["n"]
@@ -95,7 +95,7 @@ class Decoder:
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs.tolist()
-        self.decode = lru_cache(maxsize=200_000)(self._decode)
+        self.decode = lru_cache(maxsize=20_000)(self._decode)
 
     def _decode(self, spot: str) -> str:
         gaps = bool(re.fullmatch(r"[a-z](?:[ .\-*_][a-z]){3,}", spot))
@@ -300,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     marked = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
-    counts = train.mapInArrow(_count_features(decoder), "f long, no long, yes long").groupBy("f").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
+    counts = train.transform(arrow, _count_features(decoder), "f long, no long, yes long").groupBy("f").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes"))
     # the strongest features by log-likelihood ratio against independence; 2^18 rows at most
     table = counts.toPandas().sort_values("f")
     y = np.array([r["y"] for r in chosen.select("y").collect()])
@@ -321,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     best = np.argsort(-ratio, kind="stable")[:SELECTED]
     best = best[ratio[best] > 4]
     place[table["f"].to_numpy()[best]] = np.arange(len(best))
-    got = train.mapInArrow(_collect_vectors(decoder, sc.broadcast(place)), "y int, words long, f binary, v binary").toArrow()
+    got = train.transform(arrow, _collect_vectors(decoder, sc.broadcast(place)), "y int, words long, f binary, v binary").toArrow()
     cols = [np.frombuffer(x, np.uint16) for x in got["f"].to_pylist()]
     vals = [np.frombuffer(x, np.float16) for x in got["v"].to_pylist()]
     row = np.repeat(np.arange(len(cols)), [len(x) for x in cols])
@@ -344,7 +344,7 @@ def _score(model):
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with _score, the probability that its text is toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_score(shared), docs.withColumn("_score", F.lit(0.0)).schema)
+    return docs.transform(arrow, _score(shared), docs.withColumn("_score", F.lit(0.0)).schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
