@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, mixing
 from .common import table
 
 
@@ -36,11 +36,35 @@ def op5_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html(spark, sf_dir):
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_chat(spark, sf_dir):
+    from . import chat
+
+    own = spark.sql(r"""SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)""")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.format_events(chat.messages_as_events(turns)))
+
+
+def op8_tokens(spark, sf_dir, tokenizer="/opt/tokenizers/byte_bpe_50k.tiktoken"):
+    from .tokens import sample_edit, token_counts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs.withColumn("edits", sample_edit(docs["text"])), tokenizer)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
     "op3_minhash": op3_minhash,
     "op4_pii": op4_pii,
     "op5_toxicity": op5_toxicity,
+    "op6_html": op6_html,
+    "op7_chat": op7_chat,
+    "op8_tokens": op8_tokens,
 }
-ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE, "op7_chat": chat.ORACLE}
