@@ -57,6 +57,18 @@ def op8_tokens(spark, sf_dir, tokenizer="/opt/tokenizers/byte_bpe_50k.tiktoken")
     return token_counts(docs.withColumn("edits", sample_edit(docs["text"])), tokenizer)
 
 
+def op9_repeats(spark, sf_dir):
+    from .repeats import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_vectors(spark, sf_dir):
+    from .vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_decontamination": op2_decontamination,
@@ -66,5 +78,7 @@ QUERIES = {
     "op6_html": op6_html,
     "op7_chat": op7_chat,
     "op8_tokens": op8_tokens,
+    "op9_repeats": op9_repeats,
+    "op10_vectors": op10_vectors,
 }
 ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE, "op7_chat": chat.ORACLE}
