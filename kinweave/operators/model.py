@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decide import early_stop, fold_of
+from .lineage import written
 
 MAY_MISS = ("num_absdiff", "num_digit_ed", "num_jac", "ce")
 
@@ -34,6 +35,8 @@ def predicted(model, df: DataFrame) -> DataFrame:
 def cross_fitted(pairs: DataFrame, features: list[str], **how) -> tuple[DataFrame, list]:
     """Out-of-fold p for each pair (columns s1_id, oth_id, label), and both models. Folds are by entity."""
     d = assembled(pairs, features).withColumn("fold", fold_of(F.col("s1_id"))).withColumn("es", early_stop(F.col("s1_id"))).withColumn("label", F.col("label").cast("double"))
+    # every boosting round reads the rows again: they come from the shared folder, not from the plan above
+    d = written(d.select("s1_id", "oth_id", "features", "label", "fold", "es"))
     models = [fit(d.where(F.col("fold") != k), **how) for k in (0, 1)]
     out = [predicted(m, d.where(F.col("fold") == k)).select("s1_id", "oth_id", "p", "label", "fold") for k, m in enumerate(models)]
     return out[0].unionByName(out[1]), models
