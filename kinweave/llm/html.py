@@ -38,7 +38,7 @@ ASIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|advertisement|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|sidebar|side|nav\w*|menu\w*|breadcrumbs?|footer|header|masthead|comments?|comment-list|replies|disqus|share|social|related|recommend\w*|widget|search|login|signup|complementary|navigation|contentinfo|alert)(?:$|[\s_-])"
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
@@ -97,18 +97,23 @@ def parse(text: str) -> Node:
     return root
 
 
-def hashed(node: Node) -> bytes:
-    h = blake2b(node.tag.encode(), digest_size=8)
-    h.update(" ".join(node.attrs.split()).encode("utf-8", "replace"))
-    for kid in node.kids:
-        if isinstance(kid, str):
-            words = " ".join(kid.split())
-            if words:
-                h.update(b"t" + words.encode("utf-8", "replace"))
-        else:
-            h.update(b"n" + hashed(kid))
-    node.key = h.digest()
-    return node.key
+def hashed(root: Node) -> bytes:
+    """Gives each element of a tree its subtree's hash; pages may nest as deep as they like."""
+    order = [root]
+    for node in order:  # grows: children come after their parents
+        order.extend(kid for kid in node.kids if not isinstance(kid, str))
+    for node in reversed(order):
+        h = blake2b(node.tag.encode("utf-8", "replace"), digest_size=8)
+        h.update(" ".join(node.attrs.split()).encode("utf-8", "replace"))
+        for kid in node.kids:
+            if isinstance(kid, str):
+                words = " ".join(kid.split())
+                if words:
+                    h.update(b"t" + words.encode("utf-8", "replace"))
+            else:
+                h.update(b"n" + kid.key)
+        node.key = h.digest()
+    return root.key
 
 
 def aside(node: Node) -> bool:
@@ -130,17 +135,13 @@ def aside(node: Node) -> bool:
 def articles(node: Node) -> list[Node]:
     """The outermost article elements; else the main element; else none."""
     found: dict[str, list] = {"article": [], "main": []}
-
-    def walk(n):
-        for kid in n.kids:
-            if not isinstance(kid, str) and not aside(kid):
-                if kid.tag in found:
-                    found[kid.tag].append(kid)
-                    if kid.tag == "article":
-                        continue
-                walk(kid)
-
-    walk(node)
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        if n.tag in found:
+            found[n.tag].append(n)
+        if n.tag != "article":
+            todo.extend(kid for kid in reversed(n.kids) if not isinstance(kid, str) and not aside(kid))
     return found["article"] or found["main"]
 
 
@@ -153,19 +154,18 @@ def blocks(node: Node, template) -> str:
         if words:
             out.append(words)
 
-    def walk(n):
-        for kid in n.kids:
-            if isinstance(kid, str):
-                line.append(kid)
-            elif not aside(kid) and not (template and template(kid)):
-                if kid.tag in BLOCK:
-                    flush()
-                    walk(kid)
-                    flush()
-                else:
-                    walk(kid)
-
-    walk(node)
+    todo = list(reversed(node.kids))
+    while todo:
+        kid = todo.pop()
+        if kid is None:
+            flush()
+        elif isinstance(kid, str):
+            line.append(kid)
+        elif not aside(kid) and not (template and template(kid)):
+            if kid.tag in BLOCK:
+                flush()
+                todo.append(None)
+            todo.extend(reversed(kid.kids))
     flush()
     return "\n".join(out)
 
@@ -178,15 +178,12 @@ def subtrees(root: Node):
     """Elements that may be template: those outside articles, without the document's outer shells."""
     shielded = {id(a) for a in articles(root)}
 
-    def walk(n):
-        for kid in n.kids:
-            if isinstance(kid, str) or id(kid) in shielded:
-                continue
-            if kid.tag not in ("html", "body", "head", "main") and kid.kids:
-                yield kid
-            yield from walk(kid)
-
-    return walk(root)
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        if n is not root and n.tag not in ("html", "body", "head", "main") and n.kids:
+            yield n
+        todo.extend(kid for kid in n.kids if not isinstance(kid, str) and id(kid) not in shielded)
 
 
 def _survey(batches):

@@ -128,6 +128,15 @@ def test_html():
     assert html.blocks(html.articles(html.parse(page))[0], None) == "A & b\nx y\nz"
 
 
+def test_html_deep_and_broken():
+    for page in ("<div>" * 20000 + "text", "<b>" * 20000 + "text"):
+        root = html.parse(page)
+        assert html.hashed(root) and sum(1 for _ in html.subtrees(root)) == 20000 and not html.articles(root)
+        assert html.blocks(root, None) == "text"
+    assert html.blocks(html.parse("<p title=it's>a<p class='x>y'>b"), None) == "a\nb"
+    assert html.blocks(html.parse("<a href=x " * 3000), None).startswith("<a href=x")
+
+
 def test_html_templates(spark):
     rows = [(i, f"http://h.org/{i}", f"<body><div><p>same menu</p></div><p>own {i}</p>") for i in range(6)] + [(9, None, None)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
