@@ -42,6 +42,27 @@ PRECISION = 0.95
 ROUNDS, DEPTH, STEP = 24, 3, 0.4
 FEATURES = {"kind": 4, "before": 5, "after": 5, "gaps": 4, "length": 6, "cue": 2}
 SPAN = "array<struct<pos:int,end:int,text:string,left:string,right:string>>"
+PLACE = "array<struct<pos:int,kind:int,end:int,base:boolean>>"
+#: Items that a fold gathers before it joins them to what it has.
+FOLD = 256
+
+
+def _folded(items: str, start: Column, kind: str, step) -> Column:
+    """The array (of type ``kind``) that a left fold over the column ``items`` gathers: ``step(state, item)``
+    is the next state and an array to add. Adding to an array copies it, so items are gathered in
+    blocks; a text of very many spans costs its length times FOLD, not its square."""
+    nothing = F.array().cast(kind)
+
+    def one(acc, x):
+        state, more = step(acc["at"], x)
+        return F.struct(state.alias("at"), F.concat(acc["found"], more).alias("found"))
+
+    def block(acc, b):
+        joined = lambda a: F.struct(a["at"].alias("at"), F.concat(acc["found"], a["found"]).alias("found"))
+        return F.aggregate(F.slice(items, b * FOLD + 1, F.lit(FOLD)), F.struct(acc["at"].alias("at"), nothing.alias("found")), one, joined)
+
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / FOLD).cast("int"))
+    return F.aggregate(blocks, F.struct(start.alias("at"), nothing.alias("found")), block)["found"]
 
 
 def _digits(x: Column) -> Column:
@@ -75,17 +96,17 @@ def _matches(df: DataFrame, name: str, pattern: str, guard: str | None) -> DataF
         may = F.contains(text, F.lit("+"))
     df = df.withColumn("_m", F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
     df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split(text, pattern, -1)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    df = df.withColumn("_i", F.when(F.col("_g").isNotNull(), F.sequence(F.lit(1), F.size("_m"))))
 
-    def step(acc, i):
+    def step(at, i):
         gap, hit = F.element_at("_g", i), F.element_at("_m", i)
-        pos = acc["at"] + F.length(gap)
+        pos = at + F.length(gap)
         end = pos + F.length(hit)
         one = F.struct(pos.alias("pos"), end.alias("end"), hit.alias("text"), F.right(gap, F.lit(16)).alias("left"), F.substring(F.element_at("_g", i + 1), 1, 1).alias("right"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+        return end, F.array(one)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.size("_m")), start, step)["found"]
-    return df.withColumn(name, F.when(F.col("_g").isNotNull(), found).otherwise(F.array().cast(SPAN))).drop("_m", "_g")
+    found = F.when(F.col("_i").isNotNull(), _folded("_i", F.lit(0), SPAN, step))
+    return df.withColumn(name, F.coalesce(found, F.array().cast(SPAN))).drop("_m", "_g", "_i")
 
 
 def _described(kind: str, base: bool, spans: Column) -> Column:
@@ -196,15 +217,27 @@ def selected(found: DataFrame, model: tuple[list, list[float]]) -> DataFrame:
 
     out = found.withColumn("_base", F.filter("_spans", lambda s: s["base"]))
     out = out.withColumn("_more", F.filter("_spans", chosen))
-    free = F.filter("_more", lambda s: ~F.exists("_base", lambda b: (b["pos"] < s["end"]) & (s["pos"] < b["end"])))
-    out = out.withColumn("_more", F.array_sort(F.transform(free, lambda s: F.struct(s["pos"], (-s["end"]).alias("end"), s["kind"]))))
-    kept = F.aggregate(
-        "_more",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,kind:int,end:int,base:boolean>>").alias("found")),
-        lambda a, s: F.when(s["pos"] < a["at"], a).otherwise(F.struct((-s["end"]).alias("at"), F.concat(a["found"], F.array(F.struct(s["pos"], s["kind"], (-s["end"]).alias("end"), F.lit(False).alias("base")))).alias("found"))),
-    )["found"]
+    # base and added spans by place, the base first and longer added ones before shorter
+    place = lambda added: lambda s: F.struct(s["pos"].alias("pos"), F.lit(added).alias("added"), (-s["end"]).alias("end"), s["kind"].alias("kind"))
+    both = F.concat(F.transform("_base", place(0)), F.transform("_more", place(1)))
+    out = out.withColumn("_back", F.when(F.size("_more") > 0, F.reverse(F.array_sort(both))))
+    row = "array<struct<pos:int,added:int,end:int,kind:int>>"
+
+    def before_base(at, s):
+        """Backwards: drops added spans that reach into a base span that begins later."""
+        base = s["added"] == 0
+        return F.when(base, F.least(at, s["pos"])).otherwise(at), F.when(base | (-s["end"] <= at), F.array(s)).otherwise(F.array().cast(row))
+
+    def after_any(at, s):
+        """Forwards: drops added spans that begin inside a base span or an added one that is kept."""
+        base, free = s["added"] == 0, s["pos"] >= at
+        own = F.array(F.struct(s["pos"].alias("pos"), s["kind"].alias("kind"), (-s["end"]).alias("end"), F.lit(False).alias("base")))
+        return F.when(base | free, F.greatest(at, -s["end"])).otherwise(at), F.when(~base & free, own).otherwise(F.array().cast(PLACE))
+
+    out = out.withColumn("_forth", F.when(F.col("_back").isNotNull(), F.reverse(_folded("_back", F.lit(2**31 - 1), row, before_base))))
+    kept = F.coalesce(F.when(F.col("_forth").isNotNull(), _folded("_forth", F.lit(0), PLACE, after_any)), F.array().cast(PLACE))
     base = F.transform("_base", lambda s: F.struct(s["pos"], s["kind"], s["end"], s["base"]))
-    return out.withColumn("_spans", F.array_sort(F.concat(base, kept))).drop("_base", "_more")
+    return out.withColumn("_spans", F.array_sort(F.concat(base, kept))).drop("_base", "_more", "_back", "_forth")
 
 
 def _listed(spans: Column) -> Column:
@@ -232,14 +265,12 @@ def redacted(docs: DataFrame) -> DataFrame:
     found = candidates(docs)
     s = selected(found, fit(found))
     name = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
 
-    def step(a, x):
-        inside = x["pos"] < a["at"]
-        to = F.greatest(a["at"], x["end"])
-        piece = F.when(inside, F.lit("")).otherwise(F.concat(F.substring(text, a["at"] + 1, x["pos"] - a["at"]), F.element_at(name, x["kind"] + 1)))
-        return F.struct(to.alias("at"), F.concat(a["out"], piece).alias("out"))
+    def step(at, x):
+        piece = F.when(x["pos"] < at, F.lit("")).otherwise(F.concat(F.substring(text, at + 1, x["pos"] - at), F.element_at(name, x["kind"] + 1)))
+        return F.greatest(at, x["end"]), F.array(piece)
 
-    done = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    last = F.array_max(F.transform("_spans", lambda x: x["end"]))
+    done = F.concat(F.array_join(_folded("_spans", F.lit(0), "array<string>", step), ""), F.substring(text, last + 1, F.length(text)))
     return s.withColumn("text", F.when(F.size("_spans") > 0, done).otherwise(text)).drop("_spans")
