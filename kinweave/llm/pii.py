@@ -184,7 +184,9 @@ def fit(found: DataFrame) -> tuple[list, list[float]]:
     """Trees and each kind's threshold from the candidates of a corpus (column _spans).
 
     All candidates count; they come as at most 4*5*5*4*6*2 = 4,800 cells."""
-    span = found.select(F.explode("_spans").alias("s")).select("s.*")
+    # an outer generator: below an inner one the optimizer puts a test of the array's size, for which it
+    # computes the spans again, every step as often as the next ones name it
+    span = found.select(F.inline_outer("_spans")).where("kind is not null")
     cells = [r.asDict() for r in span.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum(F.col("valid").cast("long")).alias("yes")).orderBy(*FEATURES).collect()]
     trees, score = [], [0.0] * len(cells)
     for _ in range(ROUNDS if cells else 0):
