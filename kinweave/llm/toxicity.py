@@ -32,6 +32,8 @@ BUCKETS, SELECTED = 1 << 18, 1024
 #: Bytes of a word's beginnings that are features besides the whole word.
 PREFIXES = (4, 6, 8, 10)
 CHUNK = 1 << 20
+#: Characters of the longest spots whose readings are remembered; longer ones are decoded each time.
+REMEMBERED = 80
 
 #: Letters that a sign resembles.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"}
@@ -97,10 +99,15 @@ class Decoder:
         self.costs = costs.tolist()
         self.decode = lru_cache(maxsize=20_000)(self._decode)
 
+    def read(self, spot: str) -> str:
+        """A spot of any length decoded; only short ones are remembered."""
+        return self.decode(spot) if len(spot) <= REMEMBERED else self._decode(spot)
+
     def _decode(self, spot: str) -> str:
         gaps = bool(re.fullmatch(r"[a-z](?:[ .\-*_][a-z]){3,}", spot))
-        # state: the last two symbols and the last letter kept; value: cost and text so far
-        states = {(0, 0): (0.0, "")}
+        # state: the last two symbols; value: cost, and what was put out as a chain from the last sign back,
+        # so that the time is linear in the spot's length
+        states: dict = {(0, 0): (0.0, None)}
         before = ""
         for ch in spot:
             choices = []
@@ -116,20 +123,25 @@ class Decoder:
                     choices.append(("", DROP))
             before = ch
             new: dict = {}
-            for (p, q), (cost, text) in states.items():
+            for (p, q), (cost, chain) in states.items():
                 for out, price in choices:
                     if out:
                         s = ord(out) - 96 if "a" <= out <= "z" else 27 if out.isdigit() else 0
-                        key, value = (q, s), (cost + price + self.costs[p][q][s], text + out)
+                        key, value = (q, s), (cost + price + self.costs[p][q][s], (chain, out))
                     else:
-                        key, value = (p, q), (cost + price, text)
-                    if key not in new or value < new[key]:
+                        key, value = (p, q), (cost + price, chain)
+                    if key not in new or value[0] < new[key][0]:
                         new[key] = value
             states = new
-        return min((cost + self.costs[p][q][0], text) for (p, q), (cost, text) in states.items())[1]
+        chain = min(((cost + self.costs[p][q][0], chain) for (p, q), (cost, chain) in states.items()), key=lambda x: x[0])[1]
+        text = []
+        while chain is not None:
+            chain, out = chain
+            text.append(out)
+        return "".join(reversed(text))
 
     def restore(self, text: str) -> str:
-        return _SPOT.sub(lambda m: self.decode(m[0]) if len(m[0]) <= 80 else m[0], text)
+        return _SPOT.sub(lambda m: self.read(m[0]), text)
 
 
 def suspicious(data: np.ndarray, off: np.ndarray) -> np.ndarray:

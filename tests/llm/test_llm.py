@@ -116,6 +116,22 @@ def test_decoder_restores():
     assert [d.restore(x) for x in ("an 1d10t", "an idiooot", "an i d i o t")] == ["an idiot"] * 3
 
 
+def _decoder(sentence):
+    c = np.zeros((32, 32, 32))
+    s = toxicity._SYMBOL[np.frombuffer(" ".join([sentence] * 200).encode(), np.uint8)]
+    np.add.at(c, (s[:-2], s[1:-1], s[2:]), 1)
+    return toxicity.Decoder(-np.log((c + 0.01) / (c.sum(2)[:, :, None] + 0.32)))
+
+
+def test_decoder_restores_long_spots():
+    d = _decoder("the idiot is a moron and an idiot")
+    said = "the idiot is a moron and an idiot and the moron is an idiot"
+    for k in (1, 50):
+        got = d.restore(" ".join((said * k).replace(" ", "")))
+        assert len(got) < 1.5 * len(said) * k and got.count("idiot") == 3 * k and got.count("moron") == 2 * k
+    assert d.restore("idio" + "o" * 100_000 + "t") == "idiot"
+
+
 def test_toxicity_held_out(spark):
     rows = [(i, " ".join(WORDS[i % 50 : i % 50 + 20]) + (" idiot moron" if i % 4 == 0 else ""), "s") for i in range(400)]
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
