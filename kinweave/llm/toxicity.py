@@ -1,10 +1,10 @@
 """Toxicity by noisy-channel deobfuscation and a linear score of the restored text.
 
 1. A character trigram model is counted over all texts (one pass, 2^15 sums).
-2. Places that may hide a word (letters mixed with look-alike signs, letters repeated three times or
-   more, single letters in a row) become lattices: each sign may stand for itself or for the letters
-   that it resembles, each repetition may be dropped, each gap may be closed. Viterbi decoding under
-   the trigram model picks the text that was meant.
+2. Places that may hide a word (letters mixed with look-alike signs on either side, letters repeated
+   three times or more, single letters or signs in a row of which one is a letter) become lattices:
+   each sign may stand for itself or for the letters that it resembles, each repetition may be dropped,
+   each gap may be closed. Viterbi decoding under the trigram model picks the text that was meant.
 3. Features are hashed words and word beginnings of the restored text. Those that tell the two
    labels apart are selected by log-likelihood ratio; a logistic regression weighs them.
 
@@ -57,12 +57,20 @@ _BREAK = np.ones(256, bool)
 for _a, _b in ((0x30, 0x3A), (0x61, 0x7B), (0x80, 0x100)):
     _BREAK[_a:_b] = False
 
+_GAP = np.zeros(256, bool)
+_GAP[[ord(c) for c in " .-*_"]] = True
+
 _SIGNS = "".join(re.escape(c) for c in LOOKS)
-_SPOT = re.compile(
-    rf"(?<![^\W_])[a-z](?:[ .\-*_][a-z]){{3,}}(?![^\W_])"  # i d i o t
-    rf"|[a-z{_SIGNS}]*[{_SIGNS}](?=[a-z])[a-z{_SIGNS}]*"  # 1d10t
-    rf"|[a-z]*([a-z])\1\1[a-z]*"  # idiooot
+#: Runs of single letters or signs with gaps (i d i 0 t), and words of letters and signs (1d10t, a$$, idiooot).
+_RUN = re.compile(
+    rf"(?:(?<![^\W_])(?=[a-z])|(?<![^\W_])(?<![{_SIGNS}])(?=[{_SIGNS}]))"
+    rf"[a-z{_SIGNS}](?:[ .\-*_][a-z{_SIGNS}]){{3,}}(?:(?<=[a-z])(?![^\W_])|(?<=[{_SIGNS}])(?![^\W_]|[{_SIGNS}]))"
+    rf"|[a-z{_SIGNS}]+"
 )
+#: Where this occurs, a character's second occurrence is doubtful; elsewhere (class!, a$$) only in a row of three.
+_INSIDE = re.compile(rf"[{_SIGNS}][a-z]|([a-z])\1\1")
+#: What makes a run a spot: a gap, a sign or a letter three times; besides, it has a letter.
+_MARK, _ANY = re.compile(rf"[ .\-*_{_SIGNS}]|([a-z])\1\1"), re.compile("[a-z]")
 
 
 # ---------------------------------------------------------------- language model
@@ -104,22 +112,23 @@ class Decoder:
         return self.decode(spot) if len(spot) <= REMEMBERED else self._decode(spot)
 
     def _decode(self, spot: str) -> str:
-        gaps = bool(re.fullmatch(r"[a-z](?:[ .\-*_][a-z]){3,}", spot))
+        end, inside = len(spot.rstrip("!")), bool(_INSIDE.search(spot))
         # state: the last two symbols; value: cost, and what was put out as a chain from the last sign back,
         # so that the time is linear in the spot's length
         states: dict = {(0, 0): (0.0, None)}
         before = ""
-        for ch in spot:
+        for i, ch in enumerate(spot):
             choices = []
+            again = ch == before and (inside or 3 * ch in spot[max(i - 2, 0) : i + 3])
             if "a" <= ch <= "z":
-                choices.append((ch, KEEP_REPEAT if ch == before else 0.0))
-                if ch == before:
+                choices.append((ch, KEEP_REPEAT if again else 0.0))
+                if again:
                     choices.append(("", DROP))
-            elif gaps:
+            elif ch in " .-*_":
                 choices = [("", CLOSE), (ch, 0.0)]
             else:
-                choices = [(x, SWAP) for x in LOOKS.get(ch, "")] + [(ch, KEEP_SIGN)]
-                if ch == before:
+                choices = [(x, SWAP) for x in LOOKS[ch]] + [(ch, KEEP_SIGN if i < end else 0.0)]  # a last ! is punctuation as well
+                if again:
                     choices.append(("", DROP))
             before = ch
             new: dict = {}
@@ -141,25 +150,27 @@ class Decoder:
         return "".join(reversed(text))
 
     def restore(self, text: str) -> str:
-        return _SPOT.sub(lambda m: self.read(m[0]), text)
+        return _RUN.sub(lambda m: self.read(m[0]) if _MARK.search(m[0]) and _ANY.search(m[0]) else m[0], text)
 
 
 def suspicious(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Which of the lower-cased texts may hold a spot; a text that does is never missed."""
     out = np.zeros(len(off) - 1, bool)
-    if len(data) < 3:
+    if len(data) < 2:
         return out
-    letter = _LETTER[data]
+    letter, sign = _LETTER[data], _SIGN[data]
     hit = np.zeros(len(data), bool)
-    hit[:-1] |= _SIGN[data[:-1]] & letter[1:]
+    hit[:-1] |= (sign[:-1] & letter[1:]) | (letter[:-1] & sign[1:])
     hit[:-2] |= letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:])
     if len(data) > 6:
-        gap = ~letter
+        gap = _GAP[data]
         n = len(data) - 6
-        run = np.ones(n, bool)
+        run, some = np.ones(n, bool), np.zeros(n, bool)
         for i in range(7):
-            run &= (letter if i % 2 == 0 else gap)[i : i + n]
-        hit[:n] |= run
+            run &= (letter | sign if i % 2 == 0 else gap)[i : i + n]
+            if i % 2 == 0:
+                some |= letter[i : i + n]
+        hit[:n] |= run & some
     places = np.flatnonzero(hit)
     out[np.searchsorted(off, places, side="right") - 1] = True
     return out

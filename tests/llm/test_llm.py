@@ -132,6 +132,20 @@ def test_decoder_restores_long_spots():
     assert d.restore("idio" + "o" * 100_000 + "t") == "idiot"
 
 
+def test_decoder_restores_signs_anywhere():
+    d = _decoder("the idiot is a moron and an idiot or an ass! shit")
+    spots = {"an a$$": "an ass", "an a55": "an ass", "shi7": "shit", "an idi07": "an idiot", "an i d i 0 t": "an idiot", "an 1 d 1 0 t": "an idiot", "m-o-r-0-n": "moron", "an id10t": "an idiot", "an i.d.i.o.t": "an idiot"}
+    assert {x: d.restore(x) for x in spots} == spots
+    for x in ("an ass!", "an idiot!!!", "1 0 1 0 1 0", "$5 14 +1", "the moron and"):
+        assert d.restore(x).rstrip("!") == x.rstrip("!")
+    # no text that restore() would change is passed over
+    rng = np.random.default_rng(1)
+    some = ["".join(rng.choice(list("aot$!0157 .-29é"), int(rng.integers(0, 12)))) for _ in range(20_000)]
+    data, off = toxicity.string_bytes(toxicity.pa.array(some))
+    marked = toxicity.suspicious(data, off)
+    assert all(m or d.restore(x) == x for x, m in zip(some, marked)) and not marked.all()
+
+
 def test_toxicity_held_out(spark):
     rows = [(i, " ".join(WORDS[i % 50 : i % 50 + 20]) + (" idiot moron" if i % 4 == 0 else ""), "s") for i in range(400)]
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
