@@ -244,6 +244,12 @@ def strip_accents(spark, d):
     return _t(spark, d, "documents").where(~F.col("text").rlike("[ßœæ]")).select("doc_id", text.folder()(F.substring("text", 1, 200)).alias("folded"))
 
 
+@query()
+def strip_accents_whole(spark, d):
+    """All rows and whole texts: no SQL, as DuckDB's strip_accents differs on ß, œ and æ."""
+    return _t(spark, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), text.folder()(F.col("text"))).alias("folded"))
+
+
 @query("SELECT s1_id, len(list_intersect(a, b)) AS both, len(list_distinct(list_concat(a, b))) AS any, len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS only_a FROM (SELECT s1_id, string_split(name, ' ') AS a, string_split(address, ' ') AS b FROM s1)", views=True)
 def list_operations(spark, d):
     s = adapters.masters(spark, d).select("s1_id", F.split("name", " ").alias("a"), F.split("address", " ").alias("b"))

@@ -1,3 +1,5 @@
+import unicodedata
+
 import duckdb
 import pytest
 
@@ -88,3 +90,17 @@ def test_entity_context(spark):
 
 def test_romanised():
     assert text.romanised("दिल्ली") == "dili" and text.romanised("plain") == "plain"
+
+
+def test_strip_accents_of_whole_texts(spark, tmp_path):
+    long = "Élan vital, ÑANDÚ " * 40
+    texts = [None, "", "Die Straße über Köln", "Œuvre et æquo", long, long + "Straße É"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def plain(t):
+        marks = (c for c in unicodedata.normalize("NFD", t.lower()) if not unicodedata.combining(c))
+        return "".join(marks)
+
+    got = {r.doc_id: r.folded for r in QUERIES["strip_accents_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+    assert got[2] == "die straße uber koln" and got[5].endswith("straße e")
