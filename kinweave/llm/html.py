@@ -2,9 +2,9 @@
 
 Pass 1 parses each page and hashes its element subtrees (tag, attributes, text, children). Spark counts
 on how many pages of a host each hash occurs. Pass 2 parses again and deletes subtrees that recur on
-``MIN_PAGES`` or more pages of their host, and elements that are never part of an article. Where a page
-marks its article (article or main), the article's own blocks are what the page is about: they are not
-deleted for recurring, since copies of an article, or short paragraphs, recur on a host as well.
+``MIN_PAGES`` or more pages of their host, and elements that are never part of an article; what is left
+is the text. Where a page marks its article (article or main), the article's own blocks are what the
+page is about: they are not deleted for recurring, since short paragraphs recur on a host as well.
 """
 
 from __future__ import annotations
@@ -175,15 +175,18 @@ def site_key(host: str, subtree: bytes) -> int:
 
 
 def subtrees(root: Node):
-    """Elements that may be template: those outside articles, without the document's outer shells."""
+    """Elements that may be template: those outside articles that hold no article, without the document's outer shells."""
     shielded = {id(a) for a in articles(root)}
 
-    todo = [root]
-    while todo:
-        n = todo.pop()
-        if n is not root and n.tag not in ("html", "body", "head", "main") and n.kids:
+    order = [root]
+    for n in order:
+        order.extend(kid for kid in n.kids if not isinstance(kid, str) and id(kid) not in shielded)
+    holders = set(shielded)
+    for n in reversed(order):
+        if any(id(kid) in holders for kid in n.kids if not isinstance(kid, str)):
+            holders.add(id(n))
+        elif n is not root and n.tag not in ("html", "body", "head", "main") and n.kids:
             yield n
-        todo.extend(kid for kid in n.kids if not isinstance(kid, str) and id(kid) not in shielded)
 
 
 def _survey(batches):
@@ -206,15 +209,13 @@ def _extract(shared):
             own = batch.column(3).to_pylist() if common is None else None
             for i, (host, page) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 root = parse(page or "")
-                marked = articles(root)
-                if marked:
-                    texts.append("\n".join(t for t in (blocks(a, None) for a in marked) if t))
-                    continue
                 hashed(root)
                 listed = set(own[i] or ()) if own is not None else None
 
-                def template(n, host=host or "", listed=listed):
-                    if n.key is None or n.tag in ("html", "body", "main"):
+                open_ = {id(n) for n in subtrees(root)}
+
+                def template(n, host=host or "", listed=listed, open_=open_):
+                    if id(n) not in open_:
                         return False
                     k = site_key(host, n.key)
                     if listed is not None:
