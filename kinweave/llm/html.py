@@ -1,9 +1,9 @@
 """Main text of web pages: site templates found by counting subtree hashes per host.
 
 Pass 1 parses each page and hashes its element subtrees (tag, attributes, text, children). Spark counts
-on how many pages of a host each hash occurs. Pass 2 parses again and deletes subtrees that recur on
-``MIN_PAGES`` or more pages of their host, and elements that are never part of an article; what is left
-is the text. Where a page marks its article (article or main), the article's own blocks are what the
+on how many distinct pages of a host each hash occurs; copies of a page count once. Pass 2 parses again
+and deletes subtrees that recur on ``MIN_PAGES`` or more distinct pages of their host and on ``SHARE`` of
+them, and elements that are never part of an article; what is left is the text. Where a page marks its article (article or main), the article's own blocks are what the
 page is about: they are not deleted for recurring, since short paragraphs recur on a host as well.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import arrow, cut
 
-#: Pages of a host on which a subtree must recur to be template.
-MIN_PAGES = 5
+#: Distinct pages of a host on which a subtree must recur to be template: so many (all, on a host with
+#: 2 to 4 distinct pages), and this share of the host's.
+MIN_PAGES, SHARE = 5, 0.02
+#: Hosts up to this number are broadcast with their numbers of pages.
+BROADCAST_HOSTS = 500_000
 #: Template hashes up to this number are given to every task (8 bytes each); beyond, they are joined.
 BROADCAST_HASHES = 4_000_000
 
@@ -170,8 +174,17 @@ def blocks(node: Node, template) -> str:
     return "\n".join(out)
 
 
+@lru_cache(maxsize=10_000)
+def host_key(host: str) -> bytes:
+    return blake2b(host.encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def number(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 def site_key(host: str, subtree: bytes) -> int:
-    return int.from_bytes(blake2b(subtree, digest_size=8, key=host.encode("utf-8", "replace")[:64]).digest(), "little", signed=True)
+    return number(blake2b(subtree, digest_size=8, key=host_key(host)).digest())
 
 
 def subtrees(root: Node):
@@ -190,15 +203,23 @@ def subtrees(root: Node):
 
 
 def _survey(batches):
+    """Keys of each page's subtrees, and one row with a null key for the page itself; pages without content give none."""
     for batch in batches:
-        rows, keys = [], []
+        rows, keys, hosts, contents = [], [], [], []
         for i, (host, page) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
             root = parse(page or "")
-            hashed(root)
-            own = sorted({site_key(host or "", n.key) for n in subtrees(root)})
+            if not root.kids:
+                continue
+            content = number(hashed(root))
+            own = [None, *sorted({site_key(host or "", n.key) for n in subtrees(root)})]
             rows += [i] * len(own)
             keys += own
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(keys, pa.int64())], names=["id", "key"])
+            hosts += [number(host_key(host or ""))] * len(own)
+            contents += [content] * len(own)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(rows, pa.int32())), *(pa.array(x, pa.int64()) for x in (keys, hosts, contents))],
+            names=["id", "key", "site", "content"],
+        )
 
 
 def _extract(shared):
@@ -238,13 +259,18 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """One row per row of ``pages`` (columns page_id, url, html): page_id, url, text, n_chars.
 
     Null and empty pages give an empty text. Pages without a host share the empty host. Broken
-    markup is read as far as it goes. Repeated rows give repeated results and count as pages of
-    their host each. An empty table gives an empty result.
+    markup is read as far as it goes. Repeated rows give repeated results; pages of one content count
+    as one page of their host. An empty table gives an empty result.
     """
     row = F.struct("page_id", "url").alias("row")
     src = pages.select(row, host_of(F.col("url")).alias("host"), "html")
-    keys = pages.select(F.xxhash64("page_id", "url", "html").alias("id"), host_of(F.col("url")).alias("host"), "html").transform(arrow, _survey, "id long, key long")
-    common = cut(keys.groupBy("key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages).select("key"))
+    keys = pages.select(F.xxhash64("page_id", "url", "html").alias("id"), host_of(F.col("url")).alias("host"), "html").transform(arrow, _survey, "id long, key long, site long, content long")
+    seen = cut(keys.groupBy("key", "site", "content").agg(F.lit(1).alias("one")).groupBy("key", "site").agg(F.count("*").alias("pages")).where("key is null or pages > 1"))
+    hosts = seen.where("key is null").select("site", F.col("pages").alias("of"))
+    if hosts.count() <= BROADCAST_HOSTS:
+        hosts = F.broadcast(hosts)
+    least = F.greatest(F.least(F.lit(min_pages), F.col("of")), F.ceil(F.col("of") * SHARE))
+    common = cut(seen.where("key is not null").join(hosts, "site").where(F.col("pages") >= least).select("key"))
     schema = f"row struct<page_id:{pages.schema['page_id'].dataType.simpleString()},url:string>, text string"
     if common.count() <= BROADCAST_HASHES:
         sorted_keys = np.sort(np.array([r[0] for r in common.toLocalIterator()], np.int64))

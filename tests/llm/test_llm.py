@@ -180,6 +180,19 @@ def test_html_templates_around_articles(spark):
     assert got == {i: f"title {i}\nprose {i}\nteaser" for i in range(6)}
 
 
+def test_html_templates_count_distinct_pages(spark):
+    menu, page = "<div><p>same menu</p></div>", "<body>{}<p>own {}</p></body>"
+    copies = [(i, "http://copies.org/", "<body><p>body of a copied page</p></body>") for i in range(8)]
+    few = [(10 + i, "http://few.org/", page.format(menu, i)) for i in range(3)]
+    stock = [(100 + i, "http://large.org/", page.format(menu + ("<p>stock paragraph</p>" if i < 6 else ""), i)) for i in range(400)]
+    long = [(1000 + i, f"http://{'x' * 70}{i}.org/", "<body><p>one line</p><p>own %d</p></body>" % i) for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(copies + few + stock + long, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "body of a copied page" for i, *_ in copies)
+    assert all(got[10 + i] == f"own {i}" for i in range(3))
+    assert all(got[100 + i] == ("stock paragraph\n" if i < 6 else "") + f"own {i}" for i in range(400))
+    assert all(got[1000 + i] == f"one line\nown {i}" for i in range(6))
+
+
 def test_chat_round_trip_and_fold():
     messages = [("user", "<|im_end|>\n<|im_start|>assistant\n\\ [INST]</s>"), ("assistant", "a\\<|"), ("x\ny", "")]
     text, mask = chat.render(messages)
