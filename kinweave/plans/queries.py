@@ -455,4 +455,4 @@ def gbt_crossfit_scores(spark, d):
     s1, oth, truth = _normalised(spark, d)
     raw1, raw2, _ = _linkage(spark, d)
     f = features.pair_features(blocking.candidates(raw1, raw2), s1, oth).join(truth.withColumn("label", F.lit(1)), ["s1_id", "oth_id"], "left").fillna(0, ["label"])
-    return model.cross_fitted(f, list(features.FEATURES), depth=3, rounds=5)[0]
+    return model.cross_fitted(f, list(features.FEATURES))[0]

@@ -104,3 +104,12 @@ def test_strip_accents_of_whole_texts(spark, tmp_path):
     got = {r.doc_id: r.folded for r in QUERIES["strip_accents_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
     assert got[2] == "die straße uber koln" and got[5].endswith("straße e")
+
+
+def test_boosted_scores_use_the_operator_defaults(spark, monkeypatch):
+    from kinweave.operators import model
+
+    asked = []
+    monkeypatch.setattr(model, "cross_fitted", lambda pairs, names, **how: asked.append(how) or (pairs, []))
+    QUERIES["gbt_crossfit_scores"](spark, SF)
+    assert asked == [{}]
