@@ -79,7 +79,7 @@ def _distinct(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, minima binary"
 
 
-def _sketch(k: int):
+def _sketch(k: int, texts: bool = False):
     def run(batches):
         for batch in batches:
             ids, text = batch.column(0), batch.column(1)
@@ -91,6 +91,9 @@ def _sketch(k: int):
                 if len(full):
                     first[full] = np.add.reduceat(h, o[full])
                     second[full] = np.add.reduceat(mix(h + np.uint64(1)), o[full])
+                if texts:
+                    yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), text.slice(a, len(n))], names=["n_shingles", "set_a", "set_b", "text"])
+                    continue
                 sig = minima(h, o)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -224,18 +227,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     and give a row each. A row whose doc_id is null is its own component (component_id null) and is
     kept. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     marks = cut(sketch(docs, k))
     key = ["set_a", "set_b", "n_shingles"]
-    nodes = cut(
-        marks.where("n_shingles > 0 and doc_id is not null")
-        .groupBy(*key)
-        .agg(F.min("doc_id").alias("node"), F.first("minima").alias("minima"))
-    )
+    full = marks.where("n_shingles > 0 and doc_id is not null")
+    nodes = full.groupBy(*key).agg(F.min("doc_id").alias("own"), F.first("minima").alias("minima"))
+    # ids with several sets: a set that has such an id as its smallest gets a node number of its own
+    several = cut(full.groupBy("doc_id").agg(*[f("set_" + c).alias(n + c) for c in "ab" for f, n in ((F.min, "low_"), (F.max, "high_"))]).where("low_a < high_a or low_b < high_b").select("doc_id"))
+    repeats = bool(several.head(1))
+    if repeats:
+        nodes = nodes.join(several.select(F.col("doc_id").alias("own"), F.lit(True).alias("many")), "own", "left").withColumn("node", F.when(F.col("many"), F.xxhash64(*key)).otherwise(F.col("own"))).drop("many")
+    else:
+        nodes = nodes.withColumn("node", F.col("own"))
+    nodes = cut(nodes.select(*key, "own", "node", "minima"))
     bands = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, F.substring(F.col("minima"), j * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("band", "bucket"))
     heads = bands.groupBy("band", "bucket").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count("*").alias("size")).where("head < last").drop("last")
     shared = cut(bands.join(heads, ["band", "bucket"]))
-    texts = _lookup(docs, shared)
+    texts = _lookup(docs, shared.join(several.select(F.col("doc_id").alias("node")), "node", "left_anti") if repeats else shared)
+    if repeats:
+        apart = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(several, "doc_id", "left_semi").select("doc_id", "text").transform(arrow, _sketch(k, True), "n_shingles long, set_a long, set_b long, text string")
+        wanted = nodes.where("node <> own").select(*key, "node").join(shared.select("node").distinct(), "node", "left_semi")
+        texts = cut(texts.unionByName(apart.join(wanted, key).groupBy("node").agg(F.min("text").alias("text"))))
 
     pairs = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     sig = nodes.groupBy("node").agg(F.first("minima").alias("minima"))
@@ -251,9 +262,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
         .select("a", "b", "ta", "tb")
         .transform(arrow, _confirm(k, percent), "a long, b long")
     )
-    # one document with several texts is one node of the graph
-    several = marks.where("n_shingles > 0 and doc_id is not null").join(nodes.select(*key, "node"), key).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    repeated = cut(several.join(nodes.select(F.col("node").alias("a")).distinct(), "a", "left_semi").distinct())
+    # one document with several texts links the nodes of all of them
+    repeated = star.limit(0)
+    if repeats:
+        of = cut(full.join(several, "doc_id", "left_semi").select("doc_id", *key).distinct().join(nodes.select(*key, "node"), key).select("doc_id", "node"))
+        first = of.groupBy("doc_id").agg(F.min("node").alias("b"))
+        repeated = cut(of.join(first, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
     found = connected_components(star.unionByName(repeated))
 
     mixed = shared.where("size > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -277,7 +291,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     )
     if more.head(1):
         found = connected_components(star.unionByName(repeated).unionByName(more))
-    placed = nodes.select(*key, "node").join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component"))
+    placed = nodes.select(*key, "own", "node").join(found, "node", "left").select(*key, "own", "node", F.coalesce("component", "node").alias("component"))
+    if repeats:  # components that hold nodes numbered apart are named by their smallest id again
+        placed = cut(placed)
+        named = placed.join(placed.where("node <> own").select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("own").alias("low"))
+        placed = placed.join(named, "component", "left").withColumn("component", F.coalesce("low", "component"))
+    placed = placed.select(*key, "component")
     member = marks.drop("minima").join(placed, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return member.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -69,6 +69,19 @@ def test_minhash_against_brute_force(spark):
     assert got == {i: (len(sets[i]), comp[i], comp[i] == i) for i in sets}
 
 
+def test_minhash_ids_with_several_texts(spark):
+    rng = np.random.default_rng(5)
+    t = [list(rng.choice(WORDS, 60)) for _ in range(8)]
+    near = lambda w: " ".join(w[:-1] + ["edit"])
+    a, b, c, d, e, f, g, h = (" ".join(w) for w in t)
+    # 5 has two texts with near copies; 20 joins 1 and 2 without a set of its own; 30 comes after a copy of one text
+    rows = [(5, a), (5, b), (7, near(t[1])), (8, near(t[0])), (1, c), (2, d), (20, c), (20, d), (3, e), (30, e), (30, f), (31, near(t[5])), (40, g), (41, h), (41, h)]
+    rows = [(i, x, "s") for i, x in rows]
+    got = sorted({(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, rows)).collect()})
+    low = {5: 5, 7: 5, 8: 5, 1: 1, 2: 1, 20: 1, 3: 3, 30: 3, 31: 3, 40: 40, 41: 41}
+    assert got == sorted((i, c, i == c) for i, c in low.items())
+
+
 def test_repeats_against_brute_force(spark):
     rng = np.random.default_rng(5)
     text = lambda n: "".join(rng.choice(list("abcdé "), n))
