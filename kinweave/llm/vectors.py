@@ -9,6 +9,8 @@ Vectors that share a filter are compared in double precision, in blocks of bound
 
 from __future__ import annotations
 
+from math import log10
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,10 +25,19 @@ COSINE = 0.9
 PARTS, LIST, FILLED = 2, 48, 128
 #: Each vector gets its best filters up to this number even if they do not exceed the threshold.
 LEAST = 32
+#: Vectors up to which LIST and LEAST hold as they are.
+SMALL = 100_000
 #: Vectors of a block of a filter.
 BLOCK = 512
 
 
+def lists(n: int) -> tuple[int, int]:
+    """LIST and LEAST for ``n`` vectors: both grow by half for each factor of ten above SMALL, as filters
+    get narrower and near vectors share fewer of them."""
+    grown = 1 + max(0.0, log10(max(n, 1) / SMALL)) / 2
+    return round(LIST * grown), round(LEAST * grown)
+
+
 def code(dim: int, size: int) -> list[np.ndarray]:
     """Unit directions of each part; the same for all workers and runs."""
     parts = np.array_split(np.arange(dim), min(PARTS, dim))
@@ -39,11 +50,12 @@ def code(dim: int, size: int) -> list[np.ndarray]:
 
 def parameters(n: int, dim: int) -> tuple[int, float]:
     """Directions of a part and the threshold for ``n`` vectors: filters hold FILLED vectors on average
-    and a vector exceeds LIST filters, if it points anywhere."""
+    and a vector exceeds as many filters as ``lists`` says, if it points anywhere."""
     parts = min(PARTS, dim)
-    filters = max(256, n * LIST // FILLED)
+    wanted = lists(n)[0]
+    filters = max(256, n * wanted // FILLED)
     size = min(8192, max(16, round(filters ** (1 / parts))))
-    share = min(0.5, LIST / size**parts)
+    share = min(0.5, wanted / size**parts)
     # upper quantile of the normal distribution, by bisection of its tail
     from math import erfc, sqrt
 
@@ -54,7 +66,7 @@ def parameters(n: int, dim: int) -> tuple[int, float]:
     return size, lo / sqrt(max(dim / parts, 1))
 
 
-def filters_of(x: np.ndarray, directions: list[np.ndarray], threshold: float) -> np.ndarray:
+def filters_of(x: np.ndarray, directions: list[np.ndarray], threshold: float, least: int = LEAST) -> np.ndarray:
     """Numbers of the filters that the unit vector ``x`` exceeds, or of its best ones."""
     at, scores = 0, []
     for d in directions:
@@ -65,10 +77,10 @@ def filters_of(x: np.ndarray, directions: list[np.ndarray], threshold: float) ->
     a, b = scores
     rank_a, rank_b = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
     found = _reaching(a, b, rank_a, rank_b, threshold)
-    if len(found) < LEAST:
-        top_a, top_b = rank_a[:LEAST], rank_b[:LEAST]
+    if len(found) < least:
+        top_a, top_b = rank_a[:least], rank_b[:least]
         s = (a[top_a][:, None] + b[top_b][None]).ravel()
-        best = np.argsort(-s, kind="stable")[:LEAST]
+        best = np.argsort(-s, kind="stable")[:least]
         found = top_a[best // len(top_b)] * len(b) + top_b[best % len(top_b)]
     return found
 
@@ -102,15 +114,15 @@ def _unit(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 3, (pa.int64(), pa.int32(), pa.binary()))], names=["vec_id", "dim", "unit"])
 
 
-def _decode(settings: dict[int, tuple[int, float]]):
+def _decode(settings: dict[int, tuple[int, float, int]]):
     def run(batches):
         codes: dict[int, list] = {}
         for batch in batches:
             node, dims, found = [], [], []
             for i, (n, dim, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                size, threshold = settings[dim]
+                size, threshold, least = settings[dim]
                 directions = codes.get(dim) or codes.setdefault(dim, code(dim, size))
-                f = filters_of(np.frombuffer(raw), directions, threshold)
+                f = filters_of(np.frombuffer(raw), directions, threshold, least)
                 node += [n] * len(f)
                 dims += [dim] * len(f)
                 found.append(f)
@@ -167,7 +179,7 @@ def near_vectors(vectors: DataFrame, list_size: int = LIST) -> DataFrame:
     """
     units = cut(vectors.select(F.col("vec_id").cast("long"), "embedding").transform(arrow, _unit, "vec_id long, dim int, unit binary"))
     nodes = cut(units.groupBy("dim", "unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
-    sizes = {r["dim"]: parameters(r["n"], r["dim"]) for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row per vector length
+    sizes = {r["dim"]: (*parameters(r["n"], r["dim"]), lists(r["n"])[1]) for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row per vector length
     listed = nodes.select("node", "dim", "unit").transform(arrow, _decode(sizes), "node long, dim int, filter long")
     counted = listed.groupBy("dim", "filter").agg(F.count("*").alias("n")).where("n > 1")
     member = listed.join(counted, ["dim", "filter"])

@@ -242,6 +242,21 @@ def test_vectors_against_brute_force(spark):
     assert all(got[i] == (0, i) for i in (500, 501, 502, 503))
 
 
+def test_vector_filters_of_large_tables():
+    n, dim, rng = 10_000_000, 64, np.random.default_rng(1)
+    size, threshold = vectors.parameters(n, dim)
+    directions, shared = vectors.code(dim, size), []
+    for _ in range(200):
+        x, y = rng.standard_normal((2, dim))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y)
+        a, b = (vectors.filters_of(v, directions, threshold, vectors.lists(n)[1]) for v in (x, y))
+        shared.append(len(np.intersect1d(a, b)) > 0)
+    assert np.mean(shared) > 0.99
+    assert vectors.lists(100_000) == (vectors.LIST, vectors.LEAST)
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
