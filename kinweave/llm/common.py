@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from functools import lru_cache
 
@@ -36,10 +37,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *wanted: str):
+    """Column names that ``df`` does not have, whatever the case: one for each wanted one."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out[0] if len(out) == 1 else out
+
+
 #: Arrow batches of texts are kept small: a worker holds a few copies of one.
 BATCH_ROWS, BATCH_BYTES = "1000", "4m"
 
 
+def trimmed() -> None:
+    """Gives memory that this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def _frugal(run):
     """A worker that gives memory back: large arrays are mapped one by one, the rest is trimmed at
     the end. Workers are reused, so what one keeps adds to what the next step needs."""
