@@ -37,6 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow table of keys that are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def few(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys``, marked for broadcast if a count shows that they are few. Counted tables are written first."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def fresh(df: DataFrame, *wanted: str):
     """Column names that ``df`` does not have, whatever the case: one for each wanted one."""
     taken = {c.lower() for c in df.columns}
