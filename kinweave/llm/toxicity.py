@@ -433,7 +433,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     del table, by, f, a, b, p, ratio
     places = sc.broadcast(place)
     # in an order of its own, so that sums of fractions do not depend on partitions
-    got = train.transform(arrow, _collect_vectors(decoder, places), "key long, y int, words long, f binary, v binary").orderBy("key", "words", "f", "v").toArrow()
+    got = cut(train.transform(arrow, _collect_vectors(decoder, places), "key long, y int, words long, f binary, v binary")).orderBy("key", "words", "f", "v").toArrow()
     col, lengths = _shorts(got["f"])
     val = _values(_shorts(got["v"])[0], got["words"].to_numpy(), lengths)
     y = got["y"].to_numpy().astype(float)
