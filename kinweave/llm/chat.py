@@ -1,9 +1,10 @@
 """Chat formatting from event logs: events are dealt by conversation, sorted by sequence, and folded.
 
 An event is (conv_id, seq, kind, target, role, text). Kinds: ``message`` opens a message, ``delta``
-appends to the open message (or to ``target``), ``edit`` replaces the text of message ``target``,
-``regenerate`` drops message ``target`` and all after it and opens a new one. The fold reads sorted rows as a
-stream: a task holds the messages of one conversation at a time, however the rows are batched.
+appends to message ``target``, ``edit`` replaces the text of message ``target``, ``regenerate`` drops message
+``target`` and all after it and opens a new one. Without a target the last message is meant. The fold
+takes sorted rows one by one, as a stream: a task holds the messages of one conversation at a time as
+they stand, not its events, however the rows are batched.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n`` for each message. Control strings inside texts are
 broken by a backslash after their first character and backslashes are doubled, so nothing in a text
@@ -59,26 +60,37 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def fold(events) -> list[tuple[str, str]]:
-    """Final messages of one conversation's events (kind, target, role, text), in order."""
-    messages: list[list] = []
-    for kind, target, role, text in events:
-        text, role = text or "", role or ""
-        if kind == "delta" and messages:
-            at = target if target is not None and 0 <= target < len(messages) else len(messages) - 1
-            messages[at][1].append(text)
-        elif kind == "edit" and target is not None and 0 <= target < len(messages):
-            messages[target][1] = [text]
-            if role:
-                messages[target][0] = role
+class Fold:
+    """The messages of one conversation as they stand after the events so far."""
+
+    def __init__(self):
+        self.messages: list[list] = []
+
+    def apply(self, kind: str, target: int | None, role: str | None, text: str | None) -> None:
+        text, role, last = text or "", role or "", len(self.messages) - 1
+        at = last if target is None else target
+        there = 0 <= at <= last
+        if kind == "delta" and last >= 0:
+            self.messages[at if there else last][1].append(text)
         elif kind == "edit":
-            continue
+            if there:
+                self.messages[at] = [role or self.messages[at][0], [text]]
         else:
-            if kind == "regenerate" and target is not None and 0 <= target < len(messages):
-                role = role or messages[target][0]
-                del messages[target:]
-            messages.append([role, [text]])
-    return [(role, "".join(parts)) for role, parts in messages]
+            if kind == "regenerate" and there:
+                role = role or self.messages[at][0]
+                del self.messages[at:]
+            self.messages.append([role, [text]])
+
+    def final(self) -> list[tuple[str, str]]:
+        return [(role, "".join(parts)) for role, parts in self.messages]
+
+
+def fold(events) -> list[tuple[str, str]]:
+    """Final messages of one conversation's events (kind, target, role, text), in order."""
+    state = Fold()
+    for event in events:
+        state.apply(*event)
+    return state.final()
 
 
 _OUT = "conv_id long, formatted string, mask array<struct<start:long,stop:long>>"
@@ -86,35 +98,35 @@ _SCHEMA = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("mask
 
 
 def _formatted(batches):
-    def one(conv, events):
-        text, mask = render(fold(events))
+    def one(conv, state):
+        text, mask = render(state.final())
         return {"conv_id": conv, "formatted": text, "mask": [{"start": a, "stop": b} for a, b in mask]}
 
-    conv, events, out, size, any_ = None, [], [], 0, False
+    conv, state, out, size = None, None, [], 0
     for batch in batches:
         for c, *event in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            if any_ and c != conv:
-                out.append(one(conv, events))
-                size += len(out[-1]["formatted"])
-                events = []
+            if state is None or c != conv:
+                if state is not None:
+                    out.append(one(conv, state))
+                    size += len(out[-1]["formatted"])
                 if size > 4_000_000:
                     yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
                     out, size = [], 0
-            conv, any_ = c, True
-            events.append(event)
-    if any_:
-        out.append(one(conv, events))
-    if out:
+                conv, state = c, Fold()
+            state.apply(*event)
+    if state is not None:
+        out.append(one(conv, state))
         yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
 
 def format_events(events: DataFrame) -> DataFrame:
-    """conv_id, formatted, mask for each conversation of ``events`` (conv_id, seq, kind, target, role,
-    text; other columns are ignored).
+    """conv_id, formatted, mask for each conversation of ``events`` (conv_id, seq of any type that has
+    an order, kind, target, role, text; other columns are ignored).
 
-    Events are applied by seq; ties by kind, role and text; a null seq comes first. Null texts and
-    roles are empty. Deltas without an open message open one; edits of a message that does not exist
-    are void. A null conv_id is a conversation of its own. No events, no rows.
+    Events are applied by seq; ties by kind, role and text; a null seq comes first; repeated rows are
+    events each. Null texts and roles are empty. Deltas without a message open one; edits of a message
+    that does not exist are void, regenerations open one. A null conv_id is a conversation of its own. No
+    events, no rows.
     """
     e = events.select(F.col("conv_id").cast("long"), "seq", "kind", F.col("target").cast("long"), "role", "text")
     order = ["conv_id", "seq", "kind", "role", "text"]
@@ -147,6 +159,29 @@ def messages_as_events(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("target"), "role", "text")
 
 
+def logged(conversations: DataFrame) -> DataFrame:
+    """Events of a table of whole messages (conv_id, turn, role, text) as a client would log them: by a hash
+    of turn and text a message arrives whole, or as its first half and a delta, or as a draft that an
+    edit corrects, or as a draft that is regenerated and goes on by a delta. Folded, they give
+    the messages, by turn, then role and text."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    head, tail = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    event = lambda kind, content, role=None: F.struct(F.lit(kind).alias("kind"), (F.col("role") if role is None else role).alias("role"), content.alias("text"))
+    none, draft = F.lit(None).cast("string"), F.concat(F.lit("draft of "), F.reverse(head))
+    events = (
+        F.when(F.col("way") == 0, F.array(event("message", F.col("text"))))
+        .when(F.col("way") == 1, F.array(event("message", head), event("delta", tail, none)))
+        .when(F.col("way") == 2, F.array(event("message", draft), event("edit", text, none)))
+        .otherwise(F.array(event("message", draft), event("delta", F.lit(" and more"), none), event("regenerate", head, none), event("delta", tail, none)))
+    )
+    c = conversations.select("conv_id", "turn", "role", "text").withColumn("way", F.pmod(F.xxhash64("turn", "text"), F.lit(4)))
+    # equal rows are interchangeable, but their events must not mix
+    c = c.withColumn("copy", F.monotonically_increasing_id())
+    one = c.select("conv_id", "turn", "role", "text", "copy", F.posexplode(events).alias("part", "event"))
+    return one.select("conv_id", F.struct("turn", "role", "text", "copy", "part").alias("seq"), "event.kind", F.lit(None).cast("long").alias("target"), "event.role", "event.text")
+
+
 #: The same digests in DuckDB's SQL, without formatting: lengths follow from the template.
 ORACLE = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -47,7 +47,7 @@ def op7_chat(spark, sf_dir):
 
     own = spark.sql(r"""SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)""")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.digests(chat.format_events(chat.messages_as_events(turns)))
+    return chat.digests(chat.format_events(chat.logged(turns)))
 
 
 def op8_tokens(spark, sf_dir, tokenizer="/opt/tokenizers/byte_bpe_50k.tiktoken"):
