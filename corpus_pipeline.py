@@ -7,38 +7,40 @@ again as the next one's documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import minhash, mixing, pii, tiling, toxicity
-from kinweave.llm.common import shared_dir, table
+from kinweave.llm.common import dropped, stored, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows predicted toxic go."""
+    """Rows predicted toxic go; the score of a null or empty text is that of a text without words.
+    Repeated rows go or stay together. Empty documents or labels are no error."""
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id."""
+    """One document of each group stays: the one with the smallest doc_id. Null and empty texts are no
+    duplicates of each other; of rows that repeat a doc_id one stays, rows without one all stay."""
     return minhash.representatives(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that leak a benchmark item go."""
+    """Rows that leak a benchmark item go. Null and empty texts stay, repeated rows go or stay together."""
     return tiling.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by its kind; n_chars follows the text."""
+    """Personal data in texts is replaced by its kind; n_chars follows the text. A null text stays null;
+    no row goes."""
     done = pii.redacted(docs)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else done
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each document that it takes, with its text and how many times it is sent."""
+    """The mix: a row for each document that it takes, with its text and how many times it is sent. Ties
+    of finish times are ordered by source, hash, id and size; documents without words are never taken."""
     mixed = mixing.mix(docs, carry=("text", "lang", "source"))
     return mixed.where("sendings > 0").select("doc_id", "text", "lang", "source", "size", "source_size", "target", "taken", "sendings", "first_finish")
 
@@ -56,10 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what passes between them is written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; what passes between them is written to the shared folder, and goes
+    when the next stage has been written (the last one is read by the caller)."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        docs, path = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            dropped(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

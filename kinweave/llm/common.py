@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +38,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a compressed table in the shared folder, and the table's path, for ``dropped``."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    return spark.read.parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``stored`` has written and nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows of a narrow table of keys that are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 

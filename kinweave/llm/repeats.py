@@ -4,7 +4,7 @@ Every string of ``SHORT`` bytes has a minimizer: the least of the hashes of its
 first one if several are least. Equal strings have the same minimizer at the same place, so repeats need
 only be looked for among occurrences of one minimizer, with the strings aligned to it.
 
-1. One pass over the texts lists minimizers (one for about 110 bytes) with a hash of the segment around
+1. One pass over the texts lists minimizers (one for about 80 bytes) with a hash of the segment around
    each: all strings of ``LENGTH`` bytes that hold this occurrence lie in it. Neighbouring
    occurrences of one segment, as in periodic texts, are one row.
 2. Minimizers that occur once are dropped. Equal segments collapse: all of them repeats.
@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, WORD, _power_tables, arrow, chunks, cut, few, mix, string_bytes
+from .common import SEPARATORS, WORD, _power_tables, arrow, chunks, cut, dropped, few, mix, stored, string_bytes
 
 #: Bytes of a repeat, of the shortest strings that are aligned, and of those whose hashes are compared.
-LENGTH, SHORT, SEED = 400, 256, 32
+LENGTH, SHORT, SEED = 400, 256, 96
 #: A passage of more words is reported if it repeats, also below LENGTH bytes.
 WORDS = 50
 #: Bytes before a seed, and from it on, that a string of LENGTH bytes holding it can have.
@@ -305,14 +305,17 @@ def covered(docs: DataFrame) -> DataFrame:
     and share their spans. Spans are byte intervals, not merged and in no order; those of LENGTH bytes
     or more are covered by repeats, shorter ones are maximal repeats.
     """
-    hits = cut(docs.select("row", F.coalesce("text", F.lit("")).alias("text")).transform(arrow, _list, _LIST))
-    kinds = hits.groupBy("seed", "kind").agg(F.sum("times").alias("n"), F.min(F.struct("row", "at", "rest")).alias("one"))
-    # written, so that the join below reads plain shuffles on both sides and may split a hot seed
-    several = cut(kinds.groupBy("seed").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where("n > 1").select("seed", "kinds"))
+    hits, path = stored(docs.select("row", F.coalesce("text", F.lit("")).alias("text")).transform(arrow, _list, _LIST), "seeds")
+    live = few(hits.groupBy("seed").agg(F.sum("times").alias("n")).where("n > 1").select("seed"))
+    near = cut(hits.join(live, "seed"))
+    dropped(docs.sparkSession, path)
     before = F.least(F.col("one.at"), F.lit(BEFORE))
-    open_ = cut(kinds.join(several, "seed").where(before + F.col("one.rest") >= SHORT))
-    whole = open_.where("n > 1").select("seed", "kind", F.array(F.struct((-before).cast("int").alias("a"), F.col("one.rest").cast("int").alias("b"))).alias("spans"))
-    wanted = open_.where("kinds > 1").groupBy("one.row").agg(F.collect_list(F.struct("seed", "kind", F.col("one.at").alias("at"), F.col("one.rest").cast("int").alias("rest"), "kinds")).alias("wanted"))
+    kinds = near.groupBy("seed", "kind").agg(F.sum("times").alias("n"), F.min(F.struct("row", "at", "rest")).alias("one"))
+    kinds = cut(kinds.where(before + F.col("one.rest") >= SHORT))
+    # written, so that the join reads plain shuffles on both sides and may split a hot seed
+    several = cut(kinds.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1"))
+    whole = kinds.where("n > 1").select("seed", "kind", F.array(F.struct((-before).cast("int").alias("a"), F.col("one.rest").cast("int").alias("b"))).alias("spans"))
+    wanted = kinds.join(several, "seed").groupBy("one.row").agg(F.collect_list(F.struct("seed", "kind", F.col("one.at").alias("at"), F.col("one.rest").cast("int").alias("rest"), "kinds")).alias("wanted"))
     ids = cut(wanted)
     source = docs.join(few(ids.select("row")), "row", "left_semi").groupBy("row").agg(F.min("text").alias("text"))
     pieces = source.join(ids, "row").select("text", "wanted").transform(arrow, _cut_out, "seed long, kind long, before int, bytes binary, kinds long")
@@ -322,7 +325,7 @@ def covered(docs: DataFrame) -> DataFrame:
     dealt = pieces.withColumn("side", side).select("seed", "kind", "before", "bytes", "side")
     found = dealt.repartition("seed", "side").sortWithinPartitions("seed", "side", "kind").transform(arrow, _compare, "seed long, kind long, spans array<struct<a:int,b:int>>")
     spans = cut(found.unionByName(whole))
-    flat = hits.select("row", "seed", "kind", "at", "reach").join(spans, ["seed", "kind"])
+    flat = near.select("row", "seed", "kind", "at", "reach").join(spans, ["seed", "kind"])
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["b"] + F.col("at") + F.col("reach")).alias("b")))
     return flat.select("row", moved.alias("spans")).distinct().groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
