@@ -99,6 +99,33 @@ def test_repeats_against_brute_force(spark):
         assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == (len(b), sum(gone), hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("together", [repeats.TOGETHER, 3])
+def test_repeats_of_hot_seeds_and_periodic_texts(spark, monkeypatch, together):
+    monkeypatch.setattr(repeats, "TOGETHER", together)
+    rng = np.random.default_rng(6)
+    text = lambda n: "".join(rng.choice(list("abcd "), int(n)))
+    shared = text(700)
+    rows = [(i, text(rng.integers(0, 60)) + shared[: int(rng.integers(380, 700))] + text(rng.integers(0, 300)), "s") for i in range(40)]
+    rows += [(50, "a" * 3000, "s"), (51, "a" * 450, "s"), (52, "xyz" * 400, "s"), (53, shared[:405], "s"), (54, None, "s"), (55, shared[100:400], "s")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.repeats(docs(spark, rows)).collect()}
+    raw = {i: (t or "").encode() for i, t, _ in rows}
+    n = Counter(b[s : s + 400] for b in raw.values() for s in range(len(b) - 399))
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for s in range(len(b) - 399):
+            if n[b[s : s + 400]] > 1:
+                gone[s : s + 400] = b"\1" * 400
+        assert got[i] == (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))))
+
+
+def test_repeats_report_passages_of_over_fifty_words(spark):
+    w = [f"w{i % 97}x{i}" for i in range(900)]
+    part = lambda a, n: " ".join(w[a : a + n])
+    rows = [(1, "x y " + part(0, 51) + " z"), (2, "uu " + part(0, 51) + " v"), (3, "k " + part(100, 50) + " l"), (4, "m " + part(100, 50) + " n"), (5, part(200, 100)), (6, "y" + part(60, 51)), (7, "z" + part(60, 51))]
+    got = {r.doc_id: (r.repeated, r.n_removed) for r in repeats.repeats(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert len(part(0, 51)) < 400 and got == {i: (i < 3, 0) for i, _ in rows}
+
+
 def test_tiling_finds_reordered_passages(spark):
     item = " ".join(WORDS[:30])
     moved = " ".join(WORDS[15:30] + ["x"] + WORDS[:15])
@@ -109,6 +136,52 @@ def test_tiling_finds_reordered_passages(spark):
     assert {r.doc_id for r in tiling.clean(d, b).collect()} == {3, 4}
 
 
+def test_tiling_against_brute_force():
+    def brute(item, text, k):
+        left, right = [True] * len(item), [True] * len(text)
+        while True:
+            best = None
+            for i in range(len(item)):
+                for j in range(len(text)):
+                    n = 0
+                    while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and left[i + n] and right[j + n]:
+                        n += 1
+                    if n >= k and (best is None or n > best[0]):
+                        best = n, i, j
+            if best is None:
+                return left.count(False)
+            n, i, j = best
+            left[i : i + n] = right[j : j + n] = [False] * n
+
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        item, text, k = rng.integers(0, 3, int(rng.integers(1, 20))), rng.integers(-1, 3, int(rng.integers(0, 30))), int(rng.integers(1, 6))
+        assert tiling.marked_tokens(item, text, k) == brute(item.tolist(), text.tolist(), k)
+    # equal words a thousand times over take no square of steps
+    assert tiling.marked_tokens(np.zeros(1000, int), np.zeros(10_000, int), 5) == 1000
+
+
+def test_tiling_query_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    items = [(i, " ".join(rng.choice(WORDS[:60], int(rng.integers(1, 40))))) for i in range(25)] + [(30, "two words"), (31, None), (32, ""), (None, "no id here at all now")]
+    items += [(33, items[3][1])]
+    rows = [(100, None), (101, ""), (102, "Two,  WORDS!"), (103, "words two"), (104, "the " * 5000)]
+    for i in range(60):
+        parts = items[int(rng.integers(0, 25))][1].split()
+        cut = int(rng.integers(0, len(parts) + 1))
+        rows.append((i, " ".join([*rng.choice(WORDS, 8), *parts[cut:], *rng.choice(WORDS, 3), *parts[: int(cut * rng.random())]])))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    want = {}
+    for i, t in rows:
+        own = {n: tiling.coverage(tiling.token_list(x), tiling.token_list(t), 5) for n, x in items if n is not None}
+        hit = sorted(n for n, c in own.items() if c >= tiling.COVERAGE)
+        want[i] = (bool(hit), hit, max([own[n] for n in hit], default=0.0))
+    got = [(r.doc_id, (r.contaminated, r["items"], r.coverage)) for r in tiling.tile(d, b).collect()]
+    assert len(got) == len(rows) + 3 and all(want[i] == x for i, x in got)
+    assert want[102][1] == [30] and not want[103][0] and sum(x for x, _, _ in want.values()) > 10
+
+
 def test_pii_base_and_redaction(spark):
     t = "é mail a.b@x.org, 10.0.0.256 or 10.0.0.1; card 4111 1111 1111 1111 call +1 (017) 555-7713."
     d = docs(spark, [(1, t, "s"), (2, "nothing 12", "s")])
@@ -120,6 +193,58 @@ def test_pii_base_and_redaction(spark):
     assert text[1].startswith("é mail <email>, 10.0.0.256 or <ip>; card <card> call <phone>.") and text[2] == "nothing 12"
 
 
+def test_pii_base_against_plain_expressions(spark):
+    """The contract's expressions over all texts of sf0.01 and odd ones."""
+    from kinweave.llm.common import table
+
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def luhn(d):
+        return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def ok(kind, x):
+        d = re.sub("[^0-9]", "", x)
+        return {"email": True, "ip": all(int(p) <= 255 for p in x.split(".")) if kind == "ip" else None, "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]
+
+    rng = np.random.default_rng(7)
+    odd = ["".join(rng.choice(list("a1@.+-_%( )25é"), int(rng.integers(0, 60)))) for _ in range(1500)] + ["4111 1111-1111 1111 1.2.3.4.5.6.7.8 a@b.c.d@e.f x@y", "0" * 40 + "@0.0", "+1 2345678901 4111111111111111 1"]
+    rows = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()] + [(10**6 + i, t) for i, t in enumerate(odd)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        spans = sorted((m.start(), n, f"{k}:{m.start()}:{m.end()}") for n, (k, p) in enumerate(plain.items()) for m in re.finditer(p, t or "") if ok(k, m[0]))
+        want = [sum(x[2].startswith(k) for x in spans) for k in plain]
+        r = got[i]
+        assert ([r.n_email, r.n_ip, r.n_card, r.n_phone], r.base_sha256) == (want, hashlib.sha256(",".join(x[2] for x in spans).encode()).hexdigest()), t
+
+
+def test_pii_added_spans(spark):
+    rng = np.random.default_rng(8)
+    num = lambda a, b: int(rng.integers(a, b))
+    clean = ["We met @ noon. Then left", "ip 1 . 2 . 3 . 4 in list", "see a(at)b. Well", "version 1.2.3.4 is out", "it was 2024 [at] least. so they say"]
+    rows, hidden = list(clean), {}
+    for i in range(300):
+        rows.append(f"please contact ann{i}@mail{i % 7}.example.com about it")
+        rows.append(f"host {num(11, 199)}.{num(0, 255)}.{num(0, 255)}.{num(1, 254)} was down")
+        rows.append(f"we ate {i} apples @ noon. then we left")
+        if i < 40:
+            hidden[len(rows)] = f"bob{i} (at) mail{i % 7} (dot) com"
+            rows.append(f"write to {hidden[len(rows)]} today")
+            hidden[len(rows)] = f"{num(11, 199)}[.]{num(0, 255)}[.]{num(0, 255)}[.]{num(1, 254)}"
+            rows.append(f"server {hidden[len(rows)]} here")
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(d).collect()}
+    for i, x in hidden.items():
+        a = rows[i].index(x)
+        assert got[i] == f"{'email' if 'at' in x else 'ip'}:{a}:{a + len(x)}"
+    base = [i for i, t in enumerate(rows) if "version" in t]
+    assert all(got[i] == "" for i, t in enumerate(rows) if t in clean and i not in base or "apples" in t) and got[base[0]] == "ip:8:15"
+    text = {r.doc_id: r.text for r in pii.redacted(d).collect()}
+    assert text[0] == rows[0] and text[1] == rows[1] and text[2] == rows[2] and all("<" in text[i] for i in hidden)
+
+
 def test_decoder_restores():
     words = " ".join(["the idiot is a moron and an idiot"] * 200)
     c = np.zeros((32, 32, 32))
@@ -151,12 +276,58 @@ def test_decoder_restores_signs_anywhere():
     assert {x: d.restore(x) for x in spots} == spots
     for x in ("an ass!", "an idiot!!!", "1 0 1 0 1 0", "$5 14 +1", "the moron and"):
         assert d.restore(x).rstrip("!") == x.rstrip("!")
-    # no text that restore() would change is passed over
+    more = {"an i  d  i  o  t": "an idiot", "a m0r0n!!": "a moron!", "an idiiot": "an idiot", "é1d10t": "éidiot"}
+    assert {x: d.restore(x) for x in more} == more
+
+
+def test_decoding_equals_enumeration():
+    d = _decoder("the idiot is a moron and an idiot or an ass! shit")
     rng = np.random.default_rng(1)
-    some = ["".join(rng.choice(list("aot$!0157 .-29é"), int(rng.integers(0, 12)))) for _ in range(20_000)]
-    data, off = toxicity.string_bytes(toxicity.pa.array(some))
-    marked = toxicity.suspicious(data, off)
-    assert all(m or d.restore(x) == x for x, m in zip(some, marked)) and not marked.all()
+    some = {"".join(rng.choice(list("aot$!015 .-"), int(rng.integers(1, 8)))) for _ in range(3000)}
+
+    def cost(outs):
+        p = q = total = 0
+        for out, price in outs:
+            total += price
+            if out:
+                total += d.costs[p][q][toxicity.symbol(out)]
+                p, q = q, toxicity.symbol(out)
+        return total + (d.costs[p][q][0] if q else 0)
+
+    for spot in some:
+        every = [((), "")]
+        for choices in toxicity.readings(spot):
+            every = [(outs + (c,), text + c[0]) for outs, text in every for c in choices]
+        best = min(cost(outs) for outs, _ in every)
+        assert any(text == d.read(spot) and cost(outs) < best + 1e-9 for outs, text in every)
+
+
+def test_spots_against_regular_expressions():
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("aot$!0296 .-é,"), int(rng.integers(0, 25)))) for _ in range(3000)]
+    data, off = toxicity.string_bytes(toxicity.pa.array(texts))
+    got = [set() for _ in texts]
+    for a, b in zip(*toxicity.spots(data, off)):
+        row = int(np.searchsorted(off, a, side="right")) - 1
+        got[row].add(data[a:b].tobytes().decode())
+    sign = "".join(re.escape(c) for c in toxicity.LOOKS)
+    run = re.compile(rf"(?<![^\W_])(?<![{sign}])[a-z{sign}](?:[ .\-*_]{{1,2}}[a-z{sign}](?![^\W_]|[{sign}])){{3,}}")
+    for text, found in zip(texts, got):
+        want, rest = set(), text
+        for m in run.finditer(text):
+            if re.search("[a-z]", m[0]):
+                want.add(m[0])
+                rest = rest.replace(m[0], "," * len(m[0]), 1)
+        want |= {w for w in re.findall(rf"[a-z{sign}]+", rest) if re.search("[a-z]", w) and (re.search(rf"[{sign}]", w) or re.search(r"([a-z])\1", w))}
+        assert found == want, (text, found, want)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows = [(i, " ".join(WORDS[i % 50 : i % 50 + 20]) + (" 1d10t moron" if i % 4 == 0 else ""), "s") for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    d = docs(spark, rows)
+    one, many = ({r.doc_id: r.score for r in toxicity.toxicity(x, labels).collect()} for x in (d.coalesce(1), d.repartition(7, "text")))
+    assert one == many
 
 
 def test_toxicity_held_out(spark):
@@ -166,18 +337,68 @@ def test_toxicity_held_out(spark):
     assert all(r.predicted == int(r.doc_id % 4 == 0) for r in got if r.held_out) and any(r.held_out for r in got)
 
 
+def _text(page):
+    return html.blocks(html.measured(html.parse(page)))
+
+
 def test_html():
     page = "<body><nav>m</nav><article><h1>A &amp; b</h1><p>x <b>y</b><p>z<div class='comments'>no</div></article><footer>f"
-    assert html.blocks(html.articles(html.parse(page))[0], None) == "A & b\nx y\nz"
+    assert _text(page) == "A & b\nx y\nz"
+
+
+def test_html_parts_of_pages():
+    pages = {
+        '<div class="layout has-sidebar"><article><p>the story</p></article><div class="sidebar">s</div></div>': "the story",
+        '<div class="with-sidebar"><p>a wrapper of all</p></div>': "a wrapper of all",
+        "<article><header><h1>Heading</h1></header><p>text</p><footer>by x</footer></article>": "Heading\ntext",
+        "<article><p>teaser</p></article><div id=story><p>the story is here</p></div>": "teaser\nthe story is here",
+        "<p>so <math><mi>x</mi></math> holds</p>": "so x holds",
+        "<p>&am<b>p;</b> &amp; &lt;</p>": "&amp; & <",
+        "<div><a>one</a> <a>two</a> <a>three</a></div><p>Text of the page with <a>a link</a></p>": "Text of the page with a link",
+        "<div class=ad>an advert that is longer than the article</div><article>short</article>": "short",
+        "<aside><article>teaser</article></aside><p hidden>no</p><p>body</p>": "body",
+        "": "",
+    }
+    assert {p: _text(p) for p in pages} == pages
 
 
 def test_html_deep_and_broken():
     for page in ("<div>" * 20000 + "text", "<b>" * 20000 + "text"):
-        root = html.parse(page)
-        assert html.hashed(root) and sum(1 for _ in html.subtrees(root)) == 20000 and not html.articles(root)
-        assert html.blocks(root, None) == "text"
-    assert html.blocks(html.parse("<p title=it's>a<p class='x>y'>b"), None) == "a\nb"
-    assert html.blocks(html.parse("<a href=x " * 3000), None).startswith("<a href=x")
+        root = html.measured(html.parse(page))
+        assert html.hashed(root) and sum(1 for _ in html.subtrees(root)) == 20000
+        assert html.blocks(root) == "text"
+    assert _text("<p title=it's>a<p class='x>y'>b") == "a\nb"
+    assert _text("<a href=x " * 3000).startswith("<a href=x")
+
+
+def test_html_generated_sites_against_counting(spark, monkeypatch):
+    """Blocks that recur on a host go, wherever they stand; a plain count over all pages says which."""
+    rng = np.random.default_rng(3)
+    rows, parts = [], {}
+    for h in range(4):
+        stock = [f"stock {h} {k}" for k in range(6)]
+        for i in range(60):
+            own = [f"own {h} {i} {k} " + "long " * 5 for k in range(3)]
+            outside = [str(x) for x in rng.choice(stock, 2, replace=False)]
+            inside = own + ([f"subscribe {h}"] if i % 2 else []) + ([f"seldom {h}"] if i in (3, 9) else []) + [f"shared paragraph {h} " + "word " * 80]
+            page = "".join(f"<div><p>{x}</p></div>" for x in outside) + "<article>" + "".join(f"<p>{x}</p>" for x in inside) + "</article>"
+            rows.append((len(rows), f"http://h{h}.org/{i}", page))
+            parts[rows[-1][0]] = (h, outside, inside)
+    rows += [(900 + i, u, p) for i, (_, u, p) in enumerate(rows[:30])]  # copies count once
+    count = Counter((h, x) for h, outside, inside in parts.values() for x in [*outside, *inside])
+    want = {}
+    for n, (h, outside, inside) in parts.items():
+        left = [x for x in outside if count[h, x] < 5] + [x for x in inside if count[h, x] < 18 or len(x) > html.INSIDE_CHARS]
+        want[n] = "\n".join(x.strip() for x in left)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert {n: got[n] for n in want} == want and all(got[900 + i] == want[i] for i in range(30))
+    assert any("seldom" in t for t in want.values()) and not any("subscribe" in t for t in want.values())
+    # beyond the broadcast, with columns that are named like the operator's own
+    monkeypatch.setattr(html, "BROADCAST_HASHES", 0)
+    for c in ("keys", "id", "host", "row", "own", "strong"):
+        pages = pages.selectExpr("*", f"'x' as {c}")
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == got
 
 
 def test_html_templates(spark):
@@ -214,6 +435,41 @@ def test_chat_round_trip_and_fold():
     assert chat.fold(events) == [("user", "Q"), ("assistant", "c")]
 
 
+def test_logged_conversations_fold_to_their_messages(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 9)), int(rng.integers(0, 40)), str(rng.choice(["user", "assistant"])), str(rng.choice(WORDS)) * int(rng.integers(0, 4))) for _ in range(400)]
+    rows += rows[:40] + [(3, None, None, None), (3, None, "user", None), (None, 1, "user", "x")]
+    got = {r.conv_id: chat.read_back(r.formatted) for r in chat.format_events(chat.logged(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).repartition(5)).collect()}
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")
+    for c in {r[0] for r in rows}:
+        assert got[c] == [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=order)]
+    kinds = {r.kind for r in chat.logged(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select("kind").collect()}
+    assert kinds == {"message", "delta", "edit", "regenerate"}
+
+
+def test_tables_of_trees_take_edits(spark, tmp_path):
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    enc = tokens.encoder(path)
+    count = lambda s: len(enc.encode_ordinary(s))
+    rng = np.random.default_rng(4)
+    texts = [None, "", "x", "line\n" * 3000, " ".join(rng.choice(WORDS, 4000)), "é" * 3000]
+    edits = [None, [(0, 0, "a b")], [(5, 9, "")], [(100, 3, "z"), (9000, 2, " y"), (10**9, 1, "end")], [(50, 60, "new words "), None, (-3, 2, "begin ")], [(10, 1, None)]]
+    kind = "doc_id long, text string, edits array<struct<at:long,delete:long,insert:string>>"
+    d = spark.createDataFrame([(i, t, e) for i, (t, e) in enumerate(zip(texts, edits))], kind)
+    tokens.trees(d, path, carry=("edits",)).write.parquet(f"{tmp_path}/one")
+    tokens.edited(spark.read.parquet(f"{tmp_path}/one"), path, carry=("edits",)).write.parquet(f"{tmp_path}/two")
+    again = {r.doc_id: r for r in tokens.edited(spark.read.parquet(f"{tmp_path}/two"), path).collect()}
+    for i, (text, own) in enumerate(zip(texts, edits)):
+        text = text or ""
+        for _ in range(2):
+            for e in own or ():
+                if e:
+                    at = min(max(e[0], 0), len(text))
+                    text = text[:at] + (e[2] or "") + text[at + e[1] :]
+        assert (again[i].text, again[i].n_tokens) == (text, count(text))
+    assert again[4].reencoded_chars < 10_000 < len(texts[4]) and again[3].reencoded_chars < 6000
+
+
 def test_segment_trees_follow_edits():
     enc = tokens.encoder("/opt/tokenizers/byte_bpe_50k.tiktoken")
     count = lambda s: len(enc.encode_ordinary(s))
@@ -242,6 +498,38 @@ def test_vectors_against_brute_force(spark):
     assert all(got[i] == (0, i) for i in (500, 501, 502, 503))
 
 
+def test_vectors_recall_of_planted_links(spark):
+    """Queries: every id that 100 divides, against all rows."""
+    rng = np.random.default_rng(10)
+    n, dim = 6000, 64
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(0, n, 100):
+        for j in range(1, 12):
+            c, y = rng.uniform(0.88, 0.95), rng.standard_normal(dim)
+            y -= (y @ x[i]) * x[i]
+            x[i + j] = c * x[i] + np.sqrt(1 - c * c) * y / np.linalg.norm(y)
+    x = x.astype(np.float32)
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {i: int((u @ u[i] >= 0.9).sum()) - 1 for i in range(0, n, 100)}
+    assert all(got[i] <= want[i] for i in want) and sum(got[i] for i in want) >= 0.9 * sum(want.values()) > 100
+
+
+def test_vectors_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(11)
+    x = (rng.standard_normal((150, 8)) * 0.2 + 1).astype(np.float32)
+    x[100:110] = x[5]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[9].tolist())]
+    extra = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' as node", "1 as dim", "2 as raw", "3 as ha")
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(extra).collect() if r.vec_id != 7}
+    u = np.array([v for _, v in rows], float)
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    near = (u @ u.T >= 0.9).sum(1) - 1
+    assert got == {i: int(near[i]) for i in got}
+
+
 def test_vector_filters_of_large_tables():
     n, dim, rng = 10_000_000, 64, np.random.default_rng(1)
     size, threshold = vectors.parameters(n, dim)
@@ -257,6 +545,16 @@ def test_vector_filters_of_large_tables():
     assert vectors.lists(100_000) == (vectors.LIST, vectors.LEAST)
 
 
+def test_mixes_in_global_order(spark):
+    rows = [(i, "w " * (i % 7 + 1), "abc"[i % 3]) for i in range(200)]
+    mixed = mixing.mix(docs(spark, rows))
+    out = mixing.in_order(mixed).collect()
+    assert [r.finish for r in out] == sorted(r.finish for r in out)
+    assert Counter(r.doc_id for r in out) == {r.doc_id: r.sendings for r in mixed.collect() if r.sendings}
+    budget, sent = sum(len(t.split()) for _, t, _ in rows), sum(r["size"] for r in out)
+    assert budget - 7 <= sent <= budget
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
