@@ -1,10 +1,18 @@
-"""Fuzzy string similarities in [0, 1]: Arrow UDFs over distinct pairs, bit-parallel where possible."""
+"""Fuzzy string similarities in [0, 1]: Arrow UDFs that compare the distinct pairs of a batch together.
+
+Common subsequences are counted bit-parallel over all pairs of a batch at once: a 64-bit word holds a
+row of the table for a string of up to 64 characters; longer ones take Python's long integers, one by one.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 
+#: Characters of the shorter string that a machine word holds, and pairs compared at once.
+WORD, TOGETHER = 64, 8192
+
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, with one machine word per row of the table."""
@@ -21,36 +29,92 @@ def lcs(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def indel(a: str, b: str) -> float:
-    n = len(a) + len(b)
-    return 2 * lcs(a, b) / n if n else 1.0
+def lcs_many(a: list[str], b: list[str]) -> np.ndarray:
+    """``lcs`` of each pair."""
+    short = [x if len(x) <= len(y) else y for x, y in zip(a, b)]
+    long = [y if len(x) <= len(y) else x for x, y in zip(a, b)]
+    out = np.zeros(len(a), np.int64)
+    size = np.array([len(x) for x in short], np.int64)
+    for i in np.flatnonzero(size > WORD):
+        out[i] = lcs(short[i], long[i])
+    todo = np.flatnonzero((size > 0) & (size <= WORD))
+    # pairs of alike lengths together, so that little is padded
+    todo = todo[np.argsort([len(long[i]) for i in todo], kind="stable")]
+    for at in range(0, len(todo), TOGETHER):
+        rows = todo[at : at + TOGETHER]
+        x = np.array([short[i] for i in rows], f"U{WORD}").view(np.uint32).reshape(len(rows), WORD)
+        wide = max(len(long[i]) for i in rows)
+        y = np.array([long[i] for i in rows], f"U{wide}").view(np.uint32).reshape(len(rows), wide)
+        full = ~np.uint64(0) >> (WORD - size[rows]).astype(np.uint64)
+        v = full.copy()
+        for j in range(wide):
+            same = np.packbits(x == y[:, j : j + 1], axis=1, bitorder="little").view(np.uint64)[:, 0] & full
+            same[y[:, j] == 0] = 0
+            u = v & same
+            v = (v + u) | (v - u)
+        out[rows] = size[rows] - np.bitwise_count(v & full)
+    return out
+
+
+def indel_many(a: list[str], b: list[str]) -> np.ndarray:
+    """Twice the common subsequence by both lengths; two empty strings are alike."""
+    n = np.array([len(x) + len(y) for x, y in zip(a, b)], float)
+    return np.where(n > 0, 2 * lcs_many(a, b) / np.maximum(n, 1), 1.0)
+
+
+def sorted_many(a: list[str], b: list[str]) -> np.ndarray:
+    return indel_many(*([" ".join(sorted(x.split())) for x in side] for side in (a, b)))
+
+
+def sets_many(a: list[str], b: list[str]) -> np.ndarray:
+    """The best of common words, and these with the others of either side; empty strings are unlike all."""
+    left, right, row, out = [], [], [], np.zeros(len(a))
+    for i, (x, y) in enumerate(zip((set(s.split()) for s in a), (set(s.split()) for s in b))):
+        if not x or not y:
+            continue
+        both = " ".join(sorted(x & y))
+        if both and (x <= y or y <= x):
+            out[i] = 1.0
+            continue
+        p, q = (" ".join(filter(None, (both, " ".join(sorted(rest))))) for rest in (x - y, y - x))
+        for u, w in [(p, q)] + [(both, p), (both, q)] * bool(both):
+            left.append(u)
+            right.append(w)
+            row.append(i)
+    np.maximum.at(out, np.array(row, int), indel_many(left, right))
+    return out
+
+
+def partial_many(a: list[str], b: list[str]) -> np.ndarray:
+    """The best of the shorter string against all windows of the longer one of its length, those at the
+    ends cut short; strings of one length are tried both ways."""
+    out = np.array([float(not x and not y) for x, y in zip(a, b)])
+    left, right, row = [], [], []
+    for i, (x, y) in enumerate(zip(a, b)):
+        if not x or not y:
+            continue
+        for s, t in [(x, y) if len(x) <= len(y) else (y, x)] + [(y, x)] * (len(x) == len(y)):
+            for k in range(1 - len(s), len(t)):
+                left.append(s)
+                right.append(t[max(0, k) : k + len(s)])
+                row.append(i)
+        if len(left) > 50 * TOGETHER:
+            np.maximum.at(out, np.array(row, int), indel_many(left, right))
+            left, right, row = [], [], []
+    np.maximum.at(out, np.array(row, int), indel_many(left, right))
+    return out
 
 
-def sorted_tokens(a: str, b: str) -> float:
-    return indel(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+def indel(a: str, b: str) -> float:
+    return float(indel_many([a], [b])[0])
 
 
 def token_sets(a: str, b: str) -> float:
-    x, y = set(a.split()), set(b.split())
-    if not x or not y:
-        return 0.0
-    both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
-    if both and (not left or not right):
-        return 1.0
-    p, q = f"{both} {left}".strip(), f"{both} {right}".strip()
-    best = indel(p, q)
-    return max(best, indel(both, p), indel(both, q)) if both else best
+    return float(sets_many([a], [b])[0])
 
 
 def partial(a: str, b: str) -> float:
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    s, t = (a, b) if len(a) <= len(b) else (b, a)
-    n = len(s)
-    best = max(indel(s, t[max(0, i) : i + n]) for i in range(1 - n, len(t)))
-    return max(best, max(indel(t, s[max(0, i) : i + n]) for i in range(1 - n, n))) if len(s) == len(t) else best
+    return float(partial_many([a], [b])[0])
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -73,19 +137,19 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro) if jaro > 0.7 else jaro
 
 
-def _udf(f):
+def jaro_winkler_many(a: list[str], b: list[str]) -> np.ndarray:
+    return np.array([jaro_winkler(x, y) for x, y in zip(a, b)], float)
+
+
+def _udf(many):
     @pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         seen: dict = {}
-        out = []
-        for p in zip(a.fillna(""), b.fillna("")):
-            if p not in seen:
-                seen[p] = f(*p)
-            out.append(seen[p])
-        return pd.Series(out)
+        place = [seen.setdefault(p, len(seen)) for p in zip(a.fillna(""), b.fillna(""))]
+        return pd.Series(many([x for x, _ in seen], [y for _, y in seen])[place] if seen else [], dtype="float64")
 
     return similarity
 
 
 def kernels() -> dict:
-    return {"ratio": _udf(indel), "token_sort": _udf(sorted_tokens), "token_set": _udf(token_sets), "partial": _udf(partial), "jaro_winkler": _udf(jaro_winkler)}
+    return {"ratio": _udf(indel_many), "token_sort": _udf(sorted_many), "token_set": _udf(sets_many), "partial": _udf(partial_many), "jaro_winkler": _udf(jaro_winkler_many)}

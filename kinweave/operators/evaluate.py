@@ -59,5 +59,44 @@ def losses(pred: DataFrame, truth: DataFrame, cands: DataFrame, spine: DataFrame
     return e.agg(F.round(F.sum(F.when(F.col("n_true") == 0, F.col("loss")).otherwise(0.0)) / n, 6).alias("singleton"), F.round(part(fp) / n, 6).alias("false_positive"), F.round(part(blk) / n, 6).alias("blocking"), F.round(part(dec) / n, 6).alias("decision"))
 
 
+def best_threshold(sweep: DataFrame) -> DataFrame:
+    """The row of a sweep with the highest score; of equal ones that of the higher threshold."""
+    return sweep.orderBy(F.desc("macro_f05"), F.desc("threshold")).limit(1)
+
+
+def with_singletons(entities: DataFrame, country: str = "country") -> DataFrame:
+    """(grp, entities, macro_f05) of each country, and of entities without and with matches."""
+    c = entities.select(F.col(country).alias("grp"), "f05")
+    s = entities.select(F.when(F.col("n_true") == 0, "singletons").otherwise("matched").alias("grp"), "f05")
+    return by_group(c.unionByName(s), "grp")
+
+
+def diagnostics(pred: DataFrame, scored: DataFrame, spine: DataFrame, low: float = 0.3, high: float = 0.9) -> DataFrame:
+    """By country, without truth: entities, the share without a match, matches and candidates for each, and
+    the share whose best candidate's p is strictly between ``low`` and ``high``. ``spine``: s1_id, country."""
+    m = pred.groupBy("s1_id").agg(F.count("*").alias("matches"))
+    c = scored.groupBy("s1_id").agg(F.count("*").alias("cands"), F.max("p").alias("pmax"))
+    e = spine.select("s1_id", "country").join(m, "s1_id", "left").join(c, "s1_id", "left").fillna(0, ["matches", "cands"])
+    share = lambda x: F.round(F.avg(F.coalesce(x, F.lit(False)).cast("double")), 6)
+    return e.groupBy("country").agg(
+        F.count("*").alias("entities"), share(F.col("matches") == 0).alias("empty_share"), F.round(F.avg("matches"), 6).alias("matches"),
+        F.round(F.avg("cands"), 6).alias("candidates"), share((F.col("pmax") > low) & (F.col("pmax") < high)).alias("uncertain_share"),
+    )
+
+
+def sampled(pairs: DataFrame, budget: int, seed: int = 7) -> DataFrame:
+    """The pairs of whole entities, in an order by hash, until ``budget`` pairs would be exceeded.
+
+    Entities are counted by hash range first, so the running sum sees a row for each of 4,096 ranges and
+    then the rows of one range, not of all entities."""
+    h = F.xxhash64("s1_id", F.lit(seed))
+    n = pairs.groupBy("s1_id").agg(F.count("*").alias("n")).withColumn("h", h).withColumn("range", F.shiftright("h", 52))
+    total = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = n.groupBy("range").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(total), F.lit(0))).select("range", "before")
+    own = Window.partitionBy("range").orderBy("h", "s1_id")
+    kept = n.join(F.broadcast(before), "range").where(F.col("before") < budget).withColumn("upto", F.col("before") + F.sum("n").over(own)).where(F.col("upto") <= budget)
+    return pairs.join(kept.select("s1_id"), "s1_id", "left_semi")
+
+
 def by_group(entities: DataFrame, group: str) -> DataFrame:
     return entities.groupBy(group).agg(F.count("*").alias("entities"), F.round(F.avg("f05"), 6).alias("macro_f05"))

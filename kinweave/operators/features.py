@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.fuzzy import kernels
+from ..functions.text import trigrams
 
 COLUMNS = ("name_core", "name_nospace", "addr_core", "addr_numbers", "legal_form", "is_domain", "country_clean")
 FEATURES = (
@@ -75,8 +76,43 @@ def number_features(pairs: DataFrame) -> DataFrame:
     )
 
 
-def pair_features(cands: DataFrame, s1: DataFrame, oth: DataFrame) -> DataFrame:
-    """s1_id, oth_id and the 34 features. ``s1`` and ``oth`` are normalised records."""
+#: Features of a candidate's place among its entity's; they drift with the number of candidates.
+DENSITY = ("s1_rank", "s1_ncand")
+#: String features that need no sequence comparison, instead of those on n_*, ns_* and a_*.
+FALLBACK = "n_tok a_tok n_eq ns_contain n_tri ns_tri a_tri".split()
+
+
+def word_jaccard(a, b):
+    """Shared words by all words; 0 where there are none."""
+    w = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(w(a), w(b))), F.size(F.array_union(w(a), w(b)))), F.lit(0.0)).cast("double")
+
+
+def trigram_cosine(a, b):
+    """Cosine of the counts of two strings' character trigrams; 0 where there are none."""
+    x, y = trigrams(a), trigrams(b)
+    count = lambda all_, g: F.size(F.filter(all_, lambda o: o == g)).cast("double")
+    total = lambda gs, f: F.aggregate(F.transform(gs, f), F.lit(0.0), lambda s, v: s + v)
+    square = lambda gs: total(F.array_distinct(gs), lambda g: count(gs, g) * count(gs, g))
+    dot = total(F.array_intersect(x, y), lambda g: count(x, g) * count(y, g))
+    return F.coalesce(F.try_divide(dot, F.sqrt(square(x)) * F.sqrt(square(y))), F.lit(0.0))
+
+
+def fallback(p: DataFrame) -> DataFrame:
+    """Adds the features of FALLBACK to pairs with the columns of both sides."""
+    of = lambda f, c: f(F.col(f"{c}_1"), F.col(f"{c}_2"))
+    either = lambda a, b: ((a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))).cast("int")
+    return p.withColumns(
+        {
+            "n_tok": of(word_jaccard, "name_core"), "a_tok": of(word_jaccard, "addr_core"), "n_eq": of(lambda a, b: (a == b).cast("int"), "name_core"), "ns_contain": of(either, "name_nospace"),
+            "n_tri": of(trigram_cosine, "name_core"), "ns_tri": of(trigram_cosine, "name_nospace"), "a_tri": of(trigram_cosine, "addr_core"),
+        }
+    )
+
+
+def pair_features(cands: DataFrame, s1: DataFrame, oth: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """s1_id, oth_id, the 34 features and those named in ``also`` (of DENSITY and FALLBACK). ``s1`` and
+    ``oth`` are normalised records."""
     f = frequencies(s1)
     left = f.select("s1_id", "name_freq", "addr_freq", *[F.col(c).alias(f"{c}_1") for c in COLUMNS])
     right = oth.select("oth_id", "src", *[F.col(c).alias(f"{c}_2") for c in COLUMNS])
@@ -96,4 +132,6 @@ def pair_features(cands: DataFrame, s1: DataFrame, oth: DataFrame) -> DataFrame:
             "len_ratio": F.least(F.length("name_core_1"), F.length("name_core_2")) / F.greatest(F.length("name_core_1"), F.length("name_core_2"), F.lit(1)),
         }
     )
-    return p.select("s1_id", "oth_id", *FEATURES)
+    if set(also) & set(FALLBACK):
+        p = fallback(p)
+    return p.select("s1_id", "oth_id", *FEATURES, *also)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import fuzzy, text
-from ..operators import blocking, decide, evaluate, features
+from ..config import Config, grid
+from ..operators import blocking, decide, evaluate, features, linkage, model
 from ..sources import adapters, files
 
 QUERIES: dict = {}
@@ -27,6 +28,29 @@ scored AS (SELECT s1.s1_id, oth.oth_id, s1.country, round(((s1.k * 7 + CAST(subs
 """
 
 
+#: Blocking in SQL: cand holds each record's candidates, w the weights.
+BLOCKING = r"""
+p1 AS (SELECT 's|' || country || '|' || state AS part, s1_id AS id, name, address FROM s1 UNION ALL SELECT 'c|' || country, s1_id, name, address FROM s1),
+p2 AS (SELECT 's|' || country || '|' || state AS part, oth_id AS id, name, address FROM oth UNION ALL SELECT 'c|' || country, oth_id, name, address FROM oth WHERE state = ''),
+tx AS (SELECT part, 1 AS side, id, unnest(['name', 'addr']) AS field, unnest([name, address]) AS v FROM p1 WHERE part IN (SELECT part FROM p2)
+  UNION ALL SELECT part, 2, id, unnest(['name', 'addr']), unnest([name, address]) FROM p2 WHERE part IN (SELECT part FROM p1)),
+pn AS (SELECT part, count(*) AS n FROM tx WHERE field = 'name' GROUP BY part),
+wd AS (SELECT part, side, id, field, ' ' || unnest(list_filter(string_split_regex(lower(v), '\s+'), lambda x: x <> '')) || ' ' AS p FROM tx),
+gr AS (SELECT part, side, id, field, unnest(CASE WHEN length(p) < 3 THEN [p] ELSE list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3)) END) AS gram FROM wd),
+tf AS (SELECT part, side, id, field, gram, count(*) AS tf FROM gr GROUP BY ALL),
+vo AS (SELECT * FROM (SELECT part, field, gram, count(*) AS df FROM tf GROUP BY ALL) JOIN pn USING (part) WHERE n < 5000 OR (df >= 2 AND df <= 0.05 * n)),
+w0 AS (SELECT part, side, id, field, gram, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN vo USING (part, field, gram)
+  WHERE part IN (SELECT part FROM vo GROUP BY part HAVING count(DISTINCT field) = 2)),
+w AS (SELECT part, side, id, field, gram, sqrt(0.5) * w / sqrt(sum(w * w) OVER (PARTITION BY part, side, id, field)) AS w FROM w0),
+dt AS (SELECT a.part, a.id AS s1_id, b.id AS oth_id, round(sum(a.w * b.w), 6) AS sim FROM w a JOIN w b ON a.part = b.part AND a.field = b.field AND a.gram = b.gram
+  WHERE a.side = 1 AND b.side = 2 GROUP BY ALL HAVING sim >= 0.1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY part, oth_id ORDER BY sim DESC, s1_id) AS rn FROM dt QUALIFY rn <= CASE WHEN part LIKE 's|%' THEN 2 ELSE 3 END),
+xk AS (SELECT *, max(sim) OVER (PARTITION BY part, oth_id) AS best, coalesce(max(CASE WHEN rn = 2 THEN sim END) OVER (PARTITION BY part, oth_id), 0) AS second FROM rk),
+cand AS (SELECT s1_id, oth_id, arg_max(sim, (part LIKE 's|%', sim)) AS blk_sim, arg_max(second, (part LIKE 's|%', sim)) AS blk_second
+  FROM xk WHERE part LIKE 'c|%' OR rn = 1 OR sim >= 0.8 * best GROUP BY s1_id, oth_id)
+"""
+
+
 def query(sql: str | None = None, views: bool = False):
     def add(f):
         QUERIES[f.__name__] = f
@@ -56,8 +80,7 @@ def scored(spark, d):
 
 def _normalised(spark, d):
     s1, oth, truth = _linkage(spark, d)
-    n = lambda x: text.with_address(text.with_name(x))
-    return n(s1), n(oth), truth
+    return linkage.normalised(s1), linkage.normalised(oth), truth
 
 
 # ---------------------------------------------------------------- relational algebra
@@ -102,9 +125,9 @@ def join_semi(spark, d):
     return _t(spark, d, "customer").join(o, "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def join_anti(spark, d):
-    return _t(spark, d, "customer").join(_t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return _t(spark, d, "customer").join(_t(spark, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
 @query("SELECT a.l_orderkey, a.l_linenumber, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber WHERE b.l_quantity >= 40 GROUP BY 1, 2")
@@ -203,9 +226,9 @@ def union_distinct(spark, d):
     return _t(spark, d, "customer").select(F.col("c_nationkey").alias("nation")).unionByName(_t(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"))).distinct()
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 450000")
 def set_difference(spark, d):
-    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(_t(spark, d, "orders").select(F.col("o_custkey").alias("k")))
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(_t(spark, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("k")))
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) AS only_left, (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) AS only_right")
@@ -215,6 +238,30 @@ def set_equality(spark, d):
     return sides.agg(F.count_if(F.col("r").isNull()).alias("only_left"), F.count_if(F.col("l").isNull()).alias("only_right"))
 
 
+@query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+def agg_distinct(spark, d):
+    return _t(spark, d, "customer").select("c_nationkey", "c_mktsegment").distinct()
+
+
+@query("SELECT o_orderkey, round(n / avg(n) OVER (), 6) AS n_rel FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)")
+def win_mean_sizebiased(spark, d):
+    o = _t(spark, d, "orders")
+    n = o.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    mean = n.agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean")).withColumn("k", F.lit(1))
+    return o.join(n, "o_custkey").withColumn("k", F.lit(1)).join(F.broadcast(mean), "k").select("o_orderkey", F.round(F.col("n") / F.col("mean"), 6).alias("n_rel"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50")
+def seeded_sample(spark, d):
+    """A sample of rows by hash: a sampling operator."""
+    return _t(spark, d, "documents").orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))), "doc_id").limit(50).select("doc_id")
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 25")
+def row_limit(spark, d):
+    return files.limited(_t(spark, d, "part").select("p_partkey", "p_name"), 25, "p_partkey")
+
+
 # ---------------------------------------------------------------- scalar functions
 
 
@@ -239,14 +286,14 @@ def char_trigrams(spark, d):
     return _t(spark, d, "part").select(F.explode(text.trigrams(F.col("p_name"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, strip_accents(lower(substr(text, 1, 200))) AS folded FROM documents WHERE NOT regexp_matches(text, '[ßœæ]')")
+@query("SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
 def strip_accents(spark, d):
-    return _t(spark, d, "documents").where(~F.col("text").rlike("[ßœæ]")).select("doc_id", text.folder()(F.substring("text", 1, 200)).alias("folded"))
+    return _t(spark, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), text.unaccented()(F.col("text"))).alias("folded"))
 
 
 @query()
 def strip_accents_whole(spark, d):
-    """All rows and whole texts: no SQL, as DuckDB's strip_accents differs on ß, œ and æ."""
+    """All rows and whole texts, with compatibility forms and scripts folded as well: no SQL."""
     return _t(spark, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), text.folder()(F.col("text"))).alias("folded"))
 
 
@@ -256,6 +303,17 @@ def list_operations(spark, d):
     return s.select("s1_id", F.size(F.array_intersect("a", "b")).cast("long").alias("both"), F.size(F.array_union("a", "b")).cast("long").alias("any"), F.size(F.array_except("a", "b")).cast("long").alias("only_a"))
 
 
+@query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(translate(replace(lower(p_name || ' & (' || p_brand || ')-x'), '&', ' and '), '.,;:()[]{}-/', '            '), '[^\w\s'']', '', 'g'), '\s+', ' ', 'g')) AS plain FROM part")
+def older_cleaner(spark, d):
+    return _t(spark, d, "part").select("p_partkey", text.cleaned_before(F.concat("p_name", F.lit(" & ("), "p_brand", F.lit(")-x"))).alias("plain"))
+
+
+@query("SELECT s1_id, list_min(flatten(list_transform(string_split(name, ' '), lambda x: list_transform(string_split(address, ' '), lambda y: abs(length(x) - length(y)))))) AS least FROM s1", views=True)
+def list_cross_min(spark, d):
+    s = adapters.masters(spark, d).select("s1_id", F.split("name", " ").alias("a"), F.split("address", " ").alias("b"))
+    return s.select("s1_id", F.array_min(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.abs(F.length(x) - F.length(y)))))).cast("long").alias("least"))
+
+
 @query()
 def crc_fold(spark, d):
     return _t(spark, d, "documents").select("doc_id", decide.fold_of(F.col("doc_id").cast("string")).alias("fold"), decide.early_stop(F.col("doc_id").cast("string")).alias("es"))
@@ -279,6 +337,22 @@ def jaro_winkler_pairs(spark, d):
     return _names(spark, d).select("a", "b", F.round(fuzzy.kernels()["jaro_winkler"]("a", "b"), 6).alias("similarity"))
 
 
+@query(f"SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jaccard, contains(a, b) OR contains(b, a) AS either FROM (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM {_PAIRS})")
+def word_jaccard_pairs(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _names(spark, d).select("a", "b", F.round(features.word_jaccard(a, b), 6).alias("jaccard"), (F.contains(a, b) | F.contains(b, a)).alias("either"))
+
+
+@query(
+    f"""WITH pr AS (SELECT * FROM {_PAIRS}), g AS (SELECT name, g, count(*) AS n FROM (SELECT name, unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS g FROM (
+  SELECT name, ' ' || unnest(string_split(name, ' ')) || ' ' AS p FROM (SELECT a AS name FROM pr UNION SELECT b FROM pr))) GROUP BY ALL), l AS (SELECT name, sqrt(sum(n * n)) AS l FROM g GROUP BY name),
+dot AS (SELECT a, b, sum(x.n * y.n) AS dot FROM pr JOIN g x ON x.name = a JOIN g y ON y.name = b AND x.g = y.g GROUP BY a, b)
+SELECT pr.a, pr.b, round(coalesce(dot, 0) / (la.l * lb.l), 6) AS cosine FROM pr LEFT JOIN dot ON dot.a = pr.a AND dot.b = pr.b JOIN l la ON la.name = pr.a JOIN l lb ON lb.name = pr.b"""
+)
+def trigram_cosine_pairs(spark, d):
+    return _names(spark, d).select("a", "b", F.round(features.trigram_cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+
+
 @query()
 def fuzzy_pairs(spark, d):
     k = fuzzy.kernels()
@@ -288,6 +362,40 @@ def fuzzy_pairs(spark, d):
 # ---------------------------------------------------------------- linkage
 
 
+_RARE = """idf AS (SELECT word, ln(n / df) / ln(n) AS idf FROM (SELECT word, count(*) AS df FROM (SELECT DISTINCT s1_id, unnest(string_split(name, ' ')) AS word FROM s1) WHERE word <> '' GROUP BY word), (SELECT CAST(greatest(count(*), 2) AS DOUBLE) AS n FROM s1)),
+pw AS (SELECT scored.s1_id, scored.oth_id, list_filter(string_split(s1.name, ' '), lambda x: x <> '') AS a, list_filter(string_split(oth.name, ' '), lambda x: x <> '') AS b FROM scored JOIN s1 USING (s1_id) JOIN oth USING (oth_id)),
+tg AS (SELECT s1_id, oth_id, 1 AS side, unnest(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))) AS word FROM pw
+  UNION ALL SELECT s1_id, oth_id, 2, unnest(list_distinct(list_filter(b, lambda x: NOT list_contains(a, x)))) FROM pw UNION ALL SELECT s1_id, oth_id, 0, unnest(a) FROM pw),
+tw AS (SELECT s1_id, oth_id, side, coalesce(idf, 1) AS idf FROM tg LEFT JOIN idf USING (word)),
+rw AS (SELECT s1_id, oth_id, coalesce(max(idf) FILTER (side = 1), 0) AS m1, coalesce(sum(idf) FILTER (side = 1), 0) AS t1, coalesce(max(idf) FILTER (side = 2), 0) AS m2, coalesce(sum(idf) FILTER (side = 2), 0) AS t2, coalesce(sum(idf) FILTER (side = 0), 0) AS al FROM tw GROUP BY s1_id, oth_id)"""
+
+
+@query(f"WITH {VIEWS}, {_RARE} SELECT s1_id, oth_id, round(m1, 6) AS rw1_max, round(t1, 6) AS rw1_sum, round(m2, 6) AS rw2_max, round(t2, 6) AS rw2_sum, round(t1 / greatest(al, 1e-6), 6) AS rw1_share FROM rw")
+def rare_word_features(spark, d):
+    s1, oth, _ = _linkage(spark, d)
+    p = scored(spark, d).select("s1_id", "oth_id").join(s1.select("s1_id", F.col("name").alias("name_core_1")), "s1_id").join(oth.select("oth_id", F.col("name").alias("name_core_2")), "oth_id")
+    f = features.rare_words(p, features.idf_table(s1, "name"))
+    return f.select("s1_id", "oth_id", *[F.round(c, 6).alias(c) for c in ("rw1_max", "rw1_sum", "rw2_max", "rw2_sum", "rw1_share")])
+
+
+@query(
+    """SELECT c_custkey, s_suppkey, CASE WHEN has THEN least(list_min(flatten(list_transform(x, lambda i: list_transform(y, lambda j: abs(CAST(i AS BIGINT) - CAST(j AS BIGINT)))))), 1000) ELSE -1 END AS num_absdiff,
+  CAST(CASE WHEN has THEN list_min(flatten(list_transform(x, lambda i: list_transform(y, lambda j: levenshtein(i, j))))) ELSE -1 END AS BIGINT) AS num_digit_ed,
+  round(CASE WHEN len(x) + len(y) > 0 THEN len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) ELSE -1 END, 6) AS num_jac,
+  CAST(regexp_extract(core, '[0-9]+') <> '' AND list_contains(y, regexp_extract(core, '[0-9]+')) AS INTEGER) AS num_first_eq, CAST(has AND len(list_intersect(x, y)) = 0 AS INTEGER) AS num_conflict
+FROM (SELECT *, len(x) > 0 AND len(y) > 0 AS has FROM (SELECT c_custkey, s_suppkey, CASE WHEN c_custkey % 5 = 0 THEN [] ELSE [CAST(c_custkey AS VARCHAR), CAST(c_custkey * 7 % 100 + 10000 AS VARCHAR)] END AS x,
+  CASE WHEN s_suppkey % 4 = 0 THEN [] ELSE [CAST(s_suppkey AS VARCHAR), CAST(s_suppkey * 3 % 100 + 10000 AS VARCHAR)] END AS y, array_to_string(x, ' road ') AS core FROM customer JOIN supplier ON c_nationkey = s_nationkey))"""
+)
+def number_features(spark, d):
+    c, s = _t(spark, d, "customer"), _t(spark, d, "supplier")
+    two = lambda k, m, gone: F.when(F.col(k) % gone == 0, F.array().cast("array<string>")).otherwise(F.array(F.col(k).cast("string"), (F.col(k) * m % 100 + 10000).cast("string")))
+    p = c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey", two("c_custkey", 7, 5).alias("x"), two("s_suppkey", 3, 4).alias("y"))
+    p = p.select("c_custkey", "s_suppkey", F.array_join("x", " ").alias("addr_numbers_1"), F.array_join("y", " ").alias("addr_numbers_2"), F.array_join("x", " road ").alias("addr_core_1"))
+    f = features.number_features(p)
+    known = lambda c, kind: F.coalesce(F.col(c).cast(kind), F.lit(-1).cast(kind)).alias(c)
+    return f.select("c_custkey", "s_suppkey", known("num_absdiff", "long"), known("num_digit_ed", "long"), F.round(F.coalesce("num_jac", F.lit(-1.0)), 6).alias("num_jac"), "num_first_eq", "num_conflict")
+
+
 @query()
 def normalised_names(spark, d):
     return text.with_name(adapters.others(spark, d)).select("oth_id", "name_clean", "name_core", "name_nospace", "legal_form", "is_domain")
@@ -303,6 +411,22 @@ def idf_table(spark, d):
     return features.idf_table(adapters.masters(spark, d), "name").select("word", F.round("idf", 6).alias("idf"))
 
 
+ORACLES["blocking_two_pass"] = f"WITH {VIEWS}, {BLOCKING} SELECT s1_id, oth_id, blk_sim, blk_second FROM cand"
+ORACLES["blocking_recall"] = f"""WITH {VIEWS}, {BLOCKING}, own AS (SELECT s1_id, count(*) AS n FROM cand GROUP BY s1_id)
+SELECT pairs, covered, entities, entities - covered AS uncovered, round(pairs / entities, 6) AS per_entity, most, true_pairs, found_pairs, round(found_pairs / true_pairs, 6) AS recall,
+  round(1 - pairs / (CAST(entities AS DOUBLE) * records), 6) AS reduction
+FROM (SELECT count(*) AS pairs FROM cand), (SELECT count(*) AS covered, max(n) AS most FROM own), (SELECT count(*) AS entities FROM s1), (SELECT count(*) AS records FROM oth),
+  (SELECT count(*) AS true_pairs FROM truth), (SELECT count(*) AS found_pairs FROM cand SEMI JOIN truth USING (s1_id, oth_id))"""
+ORACLES["tfidf_weights"] = f"WITH {VIEWS}, {BLOCKING} SELECT part, CAST(side AS INTEGER) AS side, id, field, gram, round(w, 6) AS w FROM w WHERE part LIKE 's|%'"
+
+
+@query()
+def tfidf_weights(spark, d):
+    s1, oth, _ = _linkage(spark, d)
+    v = blocking.vectors(*blocking.partitioned(s1, oth))
+    return v.where(F.col("part").startswith("s|")).select("part", "side", "id", "field", "gram", F.round("w", 6).alias("w"))
+
+
 @query()
 def blocking_two_pass(spark, d):
     s1, oth, _ = _linkage(spark, d)
@@ -318,8 +442,7 @@ def blocking_recall(spark, d):
 @query()
 def pair_features_34(spark, d):
     s1, oth, _ = _normalised(spark, d)
-    raw1, raw2, _ = _linkage(spark, d)
-    return features.pair_features(blocking.candidates(raw1, raw2), s1, oth)
+    return features.pair_features(linkage.block(s1, oth), s1, oth, (*features.DENSITY, *features.FALLBACK))
 
 
 @query("SELECT country, name, count(*) OVER (PARTITION BY country, name) AS name_freq, s1_id FROM s1", views=True)
@@ -336,14 +459,26 @@ def learn_city_states(spark, d):
     return decide.city_states(s, 5, 0.4)
 
 
-@query()
+_PLACES = """tok AS (SELECT country, state, t, count(*) AS n FROM (SELECT DISTINCT s1_id, country, state, unnest(string_split(address, ' ')) AS t FROM s1) WHERE regexp_full_match(t, '[a-z]{3,}') GROUP BY ALL),
+places AS (SELECT country, t, arg_max(state, (n, state)) AS state FROM tok GROUP BY country, t HAVING sum(n) >= 5 AND max(n) / sum(n) >= 0.4),
+votes AS (SELECT oth_id, p.state, count(*) AS n FROM (SELECT oth_id, country, unnest(string_split(address, ' ')) AS t FROM oth WHERE state = '' AND address <> '') o JOIN places p USING (country, t) GROUP BY ALL),
+top AS (SELECT oth_id, arg_max(state, (n, state)) AS state FROM votes GROUP BY oth_id HAVING max(n) / sum(n) >= 0.99)"""
+
+
+@query(f"WITH {VIEWS}, {_PLACES} SELECT oth_id, coalesce(CASE WHEN oth.state = '' THEN top.state END, oth.state) AS state FROM oth LEFT JOIN top USING (oth_id)")
 def infer_states(spark, d):
     s1, oth, _ = _linkage(spark, d)
     rename = lambda x: x.withColumnRenamed("country", "country_clean").withColumnRenamed("address", "addr_core")
     return decide.infer_states(rename(oth), decide.city_states(rename(s1), 5, 0.4)).select("oth_id", "state")
 
 
-@query()
+@query(
+    r"""SELECT word, arg_max(latin, (n, latin)) AS latin FROM (SELECT word, latin, count(*) AS n FROM (SELECT unnest(x) AS word, unnest(y) AS latin FROM (
+  SELECT list_filter(string_split_regex(translate(oth.name, '.,-()[]|/&:;''"', '              '), '\s+'), lambda w: w <> '') AS x,
+    list_filter(string_split(regexp_replace(strip_accents(lower(s1.name)), '[^a-z0-9]', ' ', 'g'), ' '), lambda w: w <> '') AS y FROM oth JOIN s1 ON true_s1 = s1.s1_id) WHERE len(x) = len(y)) GROUP BY ALL)
+GROUP BY word HAVING max(n) >= 2 AND max(n) / sum(n) >= 0.5""",
+    views=True,
+)
 def learn_dictionary(spark, d):
     s1, oth, _ = _linkage(spark, d)
     p = oth.select(F.col("name").alias("a"), F.col("true_s1").alias("s1_id")).join(s1.select("s1_id", F.col("name").alias("b")), "s1_id")
@@ -364,13 +499,15 @@ def select_unseen(spark, d):
 _OWN = "own AS (SELECT s1_id, oth_id, p FROM (SELECT *, row_number() OVER (PARTITION BY oth_id ORDER BY p DESC, s1_id) AS r FROM scored) WHERE r = 1)"
 ORACLES["entity_context"] = f"""WITH {VIEWS}, {_OWN},
 c AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, oth_id) AS rank, count(*) OVER (PARTITION BY s1_id) AS n, max(p) OVER (PARTITION BY s1_id) AS pmax FROM own)
-SELECT s1_id, oth_id, rank, n, round(n / avg(n) OVER (), 6) AS n_rel, pmax, coalesce(max(CASE WHEN rank = 2 THEN p END) OVER (PARTITION BY s1_id), 0) AS p2, round(pmax - p, 6) AS gap FROM c"""
+SELECT s1_id, oth_id, p, rank, n, round(n / avg(n) OVER (), 6) AS n_rel, pmax, round(sum(p) OVER (PARTITION BY s1_id), 6) AS psum, round(p / pmax, 6) AS rel,
+  count(*) FILTER (p >= 0.5) OVER (PARTITION BY s1_id) AS n_hi, count(*) FILTER (p >= 0.9) OVER (PARTITION BY s1_id) AS n_vhi, coalesce(max(CASE WHEN rank = 2 THEN p END) OVER (PARTITION BY s1_id), 0) AS p2, round(pmax - p, 6) AS gap FROM c"""
 
 
 @query()
 def entity_context(spark, d):
     c = decide.entity_context(scored(spark, d))
-    return c.select("s1_id", "oth_id", F.col("rank").cast("long").alias("rank"), "n", F.round("n_rel", 6).alias("n_rel"), "pmax", "p2", F.round("gap", 6).alias("gap"))
+    rounded = [F.round(x, 6).alias(x) for x in ("n_rel", "psum", "rel", "gap")]
+    return c.select("s1_id", "oth_id", "p", "n", "pmax", "p2", *rounded, *[F.col(x).cast("long").alias(x) for x in ("rank", "n_hi", "n_vhi")])
 
 
 @query()
@@ -379,7 +516,7 @@ def sibling_features(spark, d):
     return decide.siblings(decide.entity_context(scored(spark, d)), oth, 0.9)
 
 
-@query()
+@query("SELECT s1_id, oth_id, s1.name || ' | ' || s1.address AS text_a, oth.name || ' | ' || oth.address AS text_b FROM scored JOIN s1 USING (s1_id) JOIN oth USING (oth_id) WHERE p > 0.02 AND p < 0.98", views=True)
 def encoder_pairs(spark, d):
     s1, oth, _ = _linkage(spark, d)
     return decide.uncertain(scored(spark, d), s1, oth)
@@ -407,16 +544,62 @@ def f05_macro(spark, d):
     return evaluate.macro(scored(spark, d).where("p >= 0.6"), truth, s1)
 
 
+def _macro_of(pred: str) -> str:
+    """SQL of the macro score of the pairs that ``pred`` selects."""
+    return f"""(SELECT round(avg({_F05}), 6) FROM (SELECT s1_id, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM s1
+  LEFT JOIN (SELECT s1_id, count(*) AS n_true FROM truth GROUP BY 1) USING (s1_id) LEFT JOIN (SELECT s1_id, count(*) AS n_pred FROM ({pred}) GROUP BY 1) USING (s1_id)
+  LEFT JOIN (SELECT s1_id, count(*) AS tp FROM ({pred}) SEMI JOIN truth USING (s1_id, oth_id) GROUP BY 1) USING (s1_id)))"""
+
+
+ORACLES["f05_ceiling"] = f"""WITH {VIEWS} SELECT 'perfect' AS rule, {_macro_of("SELECT * FROM scored SEMI JOIN truth USING (s1_id, oth_id)")} AS macro_f05
+UNION ALL SELECT 'nothing', {_macro_of("SELECT * FROM scored WHERE false")} UNION ALL SELECT 'everything', {_macro_of("SELECT * FROM scored")}"""
+
+
 @query()
 def f05_ceiling(spark, d):
     s1, _, truth = _linkage(spark, d)
     return evaluate.ceiling(scored(spark, d), truth, s1)
 
 
+def _sweep_of(pairs: str, low: float, high: float) -> str:
+    """SQL of a sweep over ``pairs`` (s1_id, oth_id, p), of which the best for their record count."""
+    ts = ", ".join(str(t) for t in grid(low, high))
+    return f"""best AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY oth_id ORDER BY p DESC) AS r FROM {pairs}) WHERE r = 1),
+hits AS (SELECT threshold, b.s1_id, count(*) AS n_pred, count(t.s1_id) AS tp FROM best b JOIN (SELECT unnest([{ts}]) AS threshold) g ON p >= threshold LEFT JOIN truth t ON t.s1_id = b.s1_id AND t.oth_id = b.oth_id GROUP BY ALL),
+ent AS (SELECT threshold, s1_id, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred, coalesce(tp, 0) AS tp FROM s1 JOIN (SELECT unnest([{ts}]) AS threshold) g ON true
+  LEFT JOIN (SELECT s1_id, count(*) AS n_true FROM truth GROUP BY 1) USING (s1_id) LEFT JOIN hits USING (threshold, s1_id)),
+sweep AS (SELECT CAST(threshold AS DOUBLE) AS threshold, round(avg({_F05}), 6) AS macro_f05 FROM ent GROUP BY threshold)"""
+
+
+ORACLES["threshold_sweep"] = f"WITH {VIEWS}, {_sweep_of('scored', 0.3, 0.9)} SELECT * FROM sweep"
+ORACLES["best_threshold"] = f"WITH {VIEWS}, {_sweep_of('scored', 0.3, 0.9)} SELECT * FROM sweep ORDER BY macro_f05 DESC, threshold DESC LIMIT 1"
+ORACLES["no_model_baseline"] = f"WITH {VIEWS}, {BLOCKING}, byrec AS (SELECT s1_id, oth_id, blk_sim AS p FROM cand QUALIFY row_number() OVER (PARTITION BY oth_id ORDER BY blk_sim DESC, s1_id) = 1), {_sweep_of('byrec', 0.2, 0.8)} SELECT * FROM sweep"
+
+
 @query()
 def threshold_sweep(spark, d):
     s1, _, truth = _linkage(spark, d)
-    return evaluate.sweep(scored(spark, d), truth, s1, [round(0.3 + 0.05 * i, 2) for i in range(13)])
+    return evaluate.sweep(scored(spark, d), truth, s1, grid(0.3, 0.9))
+
+
+@query()
+def best_threshold(spark, d):
+    return evaluate.best_threshold(threshold_sweep(spark, d))
+
+
+@query()
+def no_model_baseline(spark, d):
+    s1, oth, truth = _linkage(spark, d)
+    return linkage.baseline(blocking.candidates(s1, oth), truth, s1, grid(0.2, 0.8))
+
+
+ORACLES["loss_breakdown"] = f"""WITH {VIEWS}, {_ENT}, f AS (SELECT *, 1 - ({_F05}) AS loss FROM e),
+l AS (SELECT f.*, 2.0 * (n_pred - tp) AS fp, n_true - coalesce(reach, 0) AS blk, coalesce(reach, 0) - tp AS dec FROM f LEFT JOIN (SELECT s1_id, count(*) AS reach FROM scored SEMI JOIN truth USING (s1_id, oth_id) GROUP BY 1) USING (s1_id)),
+q AS (SELECT *, CASE WHEN n_true > 0 AND fp + blk + dec > 0 THEN loss / (fp + blk + dec) END AS u FROM l)
+SELECT round(sum(CASE WHEN n_true = 0 THEN loss ELSE 0 END) / count(*), 6) AS singleton, round(coalesce(sum(u * fp), 0) / count(*), 6) AS false_positive,
+  round(coalesce(sum(u * blk), 0) / count(*), 6) AS blocking, round(coalesce(sum(u * dec), 0) / count(*), 6) AS decision FROM q"""
+ORACLES["f05_by_country"] = f"""WITH {VIEWS}, {_ENT}, f AS (SELECT e.*, country, {_F05} AS f05 FROM e JOIN s1 USING (s1_id))
+SELECT grp, count(*) AS entities, round(avg(f05), 6) AS macro_f05 FROM (SELECT country AS grp, f05 FROM f UNION ALL SELECT CASE WHEN n_true = 0 THEN 'singletons' ELSE 'matched' END, f05 FROM f) GROUP BY grp"""
 
 
 @query()
@@ -430,7 +613,41 @@ def loss_breakdown(spark, d):
 def f05_by_country(spark, d):
     s1, _, truth = _linkage(spark, d)
     e = evaluate.per_entity(scored(spark, d).where("p >= 0.6"), truth, s1)
-    return evaluate.by_group(e.join(s1.select("s1_id", "country"), "s1_id"), "country")
+    return evaluate.with_singletons(e.join(s1.select("s1_id", "country"), "s1_id"))
+
+
+@query(
+    """SELECT country, count(*) AS entities, round(avg(CASE WHEN m IS NULL THEN 1.0 ELSE 0.0 END), 6) AS empty_share, round(avg(coalesce(m, 0)), 6) AS matches, round(avg(coalesce(n, 0)), 6) AS candidates,
+  round(avg(CASE WHEN pmax > 0.3 AND pmax < 0.9 THEN 1.0 ELSE 0.0 END), 6) AS uncertain_share FROM s1 LEFT JOIN (SELECT s1_id, count(*) FILTER (p >= 0.6) AS k, nullif(k, 0) AS m, count(*) AS n, max(p) AS pmax FROM scored GROUP BY s1_id) USING (s1_id) GROUP BY country""",
+    views=True,
+)
+def run_diagnostics(spark, d):
+    s1, _, _ = _linkage(spark, d)
+    s = scored(spark, d)
+    return evaluate.diagnostics(s.where("p >= 0.6"), s, s1)
+
+
+@query(
+    """SELECT round(sum(yes * (below + no / 2.0)) / (sum(yes) * sum(no)), 6) AS auc FROM (SELECT *, coalesce(sum(no) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (
+  SELECT p, count(t.s1_id) AS yes, count(*) - count(t.s1_id) AS no FROM scored s LEFT JOIN truth t ON t.s1_id = s.s1_id AND t.oth_id = s.oth_id GROUP BY p))""",
+    views=True,
+)
+def roc_auc(spark, d):
+    _, _, truth = _linkage(spark, d)
+    return model.auc(linkage.labelled(scored(spark, d), truth))
+
+
+@query()
+def entity_sample(spark, d):
+    """Pairs of whole entities up to a budget, as the robustness runs take them: a sampling operator."""
+    return evaluate.sampled(scored(spark, d), 300).select("s1_id", "oth_id")
+
+
+@query("SELECT s1_id, oth_id, country FROM (SELECT s1.s1_id, country, state FROM s1 JOIN (SELECT country, state FROM s1 GROUP BY ALL ORDER BY count(*), country, state LIMIT 5) USING (country, state)) JOIN oth USING (country, state)", views=True)
+def smallest_partitions(spark, d):
+    s1, oth, _ = _linkage(spark, d)
+    a, b = blocking.smallest(s1, oth, 5)
+    return a.select("s1_id", "country", "state").join(b.select("oth_id", "country", "state"), ["country", "state"]).select("s1_id", "oth_id", "country")
 
 
 @query(
@@ -442,17 +659,52 @@ def candidate_list(spark, d):
     return files.listed(s1, scored(spark, d), "p")
 
 
-@query()
+_LISTED = "(SELECT s1.s1_id AS e, coalesce(string_agg(oth_id, ',' ORDER BY p DESC, oth_id), '') AS ids FROM s1 LEFT JOIN scored USING (s1_id) GROUP BY s1.s1_id)"
+
+
+@query(
+    f"""SELECT problem, n FROM (SELECT unnest(['repeated_entities', 'missing_entities', 'unknown_entities', 'repeated_ids', 'unknown_ids']) AS problem, unnest([
+  (SELECT count(*) - count(DISTINCT e) FROM r), (SELECT count(*) FROM s1 WHERE s1_id NOT IN (SELECT e FROM r)), (SELECT count(*) FROM r WHERE e NOT IN (SELECT s1_id FROM s1)),
+  (SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM x WHERE i <> '' GROUP BY e, i)), (SELECT count(*) FROM x WHERE i <> '' AND i NOT IN (SELECT oth_id FROM oth))]) AS n
+FROM (SELECT 1))""".replace("SELECT problem", f"SELECT * FROM (WITH r AS (SELECT * FROM {_LISTED} WHERE e NOT LIKE '%7' UNION ALL SELECT 'S1-none', 'S9-1,S9-1'), x AS (SELECT e, unnest(string_split(ids, ',')) AS i FROM r) SELECT problem", 1)
+    + ")",
+    views=True,
+)
 def submission_checks(spark, d):
+    """A faulty submission: entities that end in 7 are missing, one is made up and lists an unknown id twice."""
     s1, oth, _ = _linkage(spark, d)
-    return files.problems(files.listed(s1, scored(spark, d), "p"), s1, oth)
+    good = files.listed(s1, scored(spark, d), "p").where("source1_entity_id not like '%7'")
+    return files.problems(good.unionByName(spark.createDataFrame([("S1-none", "S9-1,S9-1")], good.schema)), s1, oth)
+
+
+@query(
+    "SELECT source1_entity_id, string_agg(oth_id, ',' ORDER BY oth_id) AS extra FROM (SELECT s1_id AS source1_entity_id, oth_id FROM scored WHERE p >= 0.4 AND p < 0.5) GROUP BY source1_entity_id",
+    views=True,
+)
+def matches_not_among_candidates(spark, d):
+    s1, _, _ = _linkage(spark, d)
+    s = scored(spark, d)
+    listed = lambda t, name: files.listed(s1, s.where(f"p >= {t}"), "p", name)
+    return files.not_among(listed(0.4, "matched_entity_ids"), listed(0.5, "candidate_entity_ids"))
 
 
 @query()
 def gbt_crossfit_scores(spark, d):
-    from ..operators import model
-
     s1, oth, truth = _normalised(spark, d)
-    raw1, raw2, _ = _linkage(spark, d)
-    f = features.pair_features(blocking.candidates(raw1, raw2), s1, oth).join(truth.withColumn("label", F.lit(1)), ["s1_id", "oth_id"], "left").fillna(0, ["label"])
+    f = linkage.labelled(features.pair_features(linkage.block(s1, oth), s1, oth), truth)
     return model.cross_fitted(f, list(features.FEATURES))[0]
+
+
+@query()
+def linkage_end_to_end(spark, d):
+    """All records learned from and linked again, at the defaults."""
+    s1, oth, truth = _linkage(spark, d)
+    config = Config(city_votes=5, city_purity=0.4)
+    return linkage.linked(linkage.train(spark, s1, oth, truth, config), s1, oth, config)
+
+
+@query()
+def leave_one_country_out(spark, d):
+    s1, oth, truth = _normalised(spark, d)
+    f = linkage.labelled(features.pair_features(linkage.block(s1, oth), s1, oth), truth)
+    return linkage.leave_one_country_out(f, truth, s1.select("s1_id", F.col("country_clean").alias("country")), list(features.FEATURES))

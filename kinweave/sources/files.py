@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zipfile
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,95 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", quote="", header=True, emptyValue="")
 
 
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def listing(spark: SparkSession, root: str) -> list[str]:
+    """All files below ``root``, sorted, in whatever file system it is."""
+    at, fs = _fs(spark, root)
+    out, files = [], fs.listFiles(at, True)
+    while files.hasNext():
+        out.append(files.next().getPath().toString())
+    return sorted(out)
+
+
+def raw_files(spark: SparkSession, root: str, stems: list[str], ending: str = ".tsv") -> dict[str, str]:
+    """The file of each stem below ``root``; none or several are an error."""
+    files = listing(spark, root)
+    hits = {stem: [f for f in files if f.rsplit("/", 1)[-1] == stem + ending] for stem in stems}
+    wrong = {stem: found for stem, found in hits.items() if len(found) != 1}
+    if wrong:
+        raise FileNotFoundError(f"one file is wanted for each of {sorted(wrong)}; found {wrong}")
+    return {stem: found[0] for stem, found in hits.items()}
+
+
+def artefact(spark: SparkSession, roots: list[str], name: str, required: bool = True) -> str | None:
+    """The first file called ``name`` below the first of ``roots`` that has one."""
+    for root in roots:
+        at, fs = _fs(spark, root)
+        found = [f for f in listing(spark, root) if f.rsplit("/", 1)[-1] == name] if fs.exists(at) else []
+        if found:
+            return found[0]
+    if required:
+        raise FileNotFoundError(f"no {name} below {roots}")
+    return None
+
+
+def extract_zip(archive: str, to: str) -> list[str]:
+    """Unpacks the TSV files of a local archive, without the folders that some systems add; their paths."""
+    with zipfile.ZipFile(archive) as z:
+        wanted = [n for n in z.namelist() if n.endswith(".tsv") and "__MACOSX" not in n.split("/")]
+        z.extractall(to, wanted)
+    return [f"{to}/{n}" for n in wanted]
+
+
+def write_one_tsv(df: DataFrame, path: str, order: str) -> None:
+    """One file, ordered; a submission has one row for each entity and is read as a whole."""
+    df.orderBy(order).coalesce(1).write.mode("overwrite").csv(path, sep="\t", quote="", header=True, emptyValue="")
+
+
+def copied(spark: SparkSession, path: str, to: str) -> None:
+    """Copies a file or folder, as the candidates beside the results."""
+    (a, fs_a), (b, fs_b) = _fs(spark, path), _fs(spark, to)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs_a, a, fs_b, b, False, True, spark._jsc.hadoopConfiguration())
+
+
+def limited(df: DataFrame, n: int | None, order: str) -> DataFrame:
+    """The first ``n`` rows by a column; all if ``n`` is None."""
+    return df if n is None else df.orderBy(order).limit(n)
+
+
+def header_problem(spark: SparkSession, path: str, schema: str = TRUTH) -> str:
+    """What is wrong with a file's header; empty if nothing is."""
+    want = [c.split()[0] for c in schema.split(", ")]
+    got = spark.read.csv(path, sep="\t", quote="", header=True).columns
+    return "" if got == want else f"header {got}, wanted {want}"
+
+
+def integrity(clean: DataFrame, raw: DataFrame, truth: DataFrame | None = None, key: str = "entity_id") -> DataFrame:
+    """(problem, n) of normalised records: rows that are missing or too many, repeated ids, nulls, empty
+    name cores, and ids of the truth (oth_id) that are unknown."""
+    nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in clean.columns])
+    rows = clean.agg(F.count("*").alias("n"), F.countDistinct(key).alias("ids"), nulls.alias("nulls"), F.count_if(F.col("name_core") == "").alias("empty")).withColumn("k", F.lit(1))
+    both = rows.join(raw.agg(F.count("*").alias("raw")).withColumn("k", F.lit(1)), "k")
+    found = both.select(F.explode(F.create_map(
+        F.lit("missing_rows"), F.abs(F.col("n") - F.col("raw")), F.lit("repeated_ids"), F.col("n") - F.col("ids"), F.lit("nulls"), F.col("nulls"), F.lit("empty_names"), F.col("empty"),
+    )).alias("problem", "n"))
+    if truth is not None:
+        unknown = truth.join(clean.select(F.col(key).alias("oth_id")), "oth_id", "left_anti").agg(F.lit("unknown_in_truth").alias("problem"), F.count("*").alias("n"))
+        found = found.unionByName(unknown)
+    return found
+
+
+def not_among(results: DataFrame, cands: DataFrame, key: str = "source1_entity_id", a: str = "matched_entity_ids", b: str = "candidate_entity_ids") -> DataFrame:
+    """Entities whose matches are no subset of their candidates: key and the ids that are not."""
+    ids = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ","), lambda x: x != "")
+    both = results.select(key, a).join(cands.select(key, b), key, "left").withColumn("extra", F.array_except(ids(F.col(a)), ids(F.col(b))))
+    return both.where(F.size("extra") > 0).select(key, F.array_join(F.array_sort("extra"), ",").alias("extra"))
+
+
 def read_parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df

@@ -88,9 +88,6 @@ def test_entity_context(spark):
     assert (c["r2"]["rank"], round(c["r2"].gap, 2), round(c["r2"].n_rel, 2), round(c["r3"].n_rel, 2)) == (2, 0.35, 1.2, 0.6)
 
 
-def test_romanised():
-    assert text.romanised("दिल्ली") == "dili" and text.romanised("plain") == "plain"
-
 
 def test_strip_accents_of_whole_texts(spark, tmp_path):
     long = "Élan vital, ÑANDÚ " * 40
@@ -113,3 +110,200 @@ def test_boosted_scores_use_the_operator_defaults(spark, monkeypatch):
     monkeypatch.setattr(model, "cross_fitted", lambda pairs, names, **how: asked.append(how) or (pairs, []))
     QUERIES["gbt_crossfit_scores"](spark, SF)
     assert asked == [{}]
+
+
+OLD = {"S.A.S. Dupont & Fils": "s a s dupont and fils", "O'Brien-Smith (Pvt) Ltd.": "o'brien smith pvt ltd", "ＡＣＭＥ": "acme", "": ""}
+
+
+def test_older_cleaner(spark):
+    from kinweave.functions import tables
+
+    df = spark.createDataFrame([(n,) for n in [*OLD, None]], "name string")
+    got = {r[0]: r[1] for r in df.select("name", text.cleaned_before(df.name)).collect()}
+    assert got == {**OLD, None: ""}
+    c = spark.createDataFrame([("U.S.A.",), ("United States of America",), ("in",), ("Chile",)], "c string")
+    assert [r[0] for r in c.select(text.country_before(c.c)).collect()] == ["us", "us", "india", "chile"]
+    n = spark.createDataFrame([("zenith pvt ltd",)], "n string")
+    assert n.select(text.expanded_before(n.n, tables.OLD_NAME_WORDS)).first()[0] == "zenith private limited"
+
+
+def test_transliteration():
+    words = {"दिल्ली": "dili", "मुंबई": "mumbai", "कंपनी": "kampani", "राम": "ram", "সংঘ": "sangh", "plain": "plain", "ಕರ್ನಾಟಕ": "karnataka", "दुःख": "duhkh"}
+    got = {w: text.romanised(w) for w in words}
+    assert got["दिल्ली"] == "dili" and got["plain"] == "plain" and got["राम"] == "ram" and got["ಕರ್ನಾಟಕ"] == "karnataka"
+    assert "m" in got["मुंबई"] and got["कंपनी"].startswith("kam") and got["সংঘ"].startswith("san")
+    assert text.transliterated("राम (plain)", {"राम": "rama"}) == "rama plain" and text.transliterated("a (b)", {}) == "a (b)"
+    assert text.indic_words("a, b(c) d'e") == ["a", "b", "c", "d", "e"] and text.latin_words("Ébène & 2x") == ["ebene", "2x"]
+
+
+def test_learned_indic_words_are_used(spark):
+    from kinweave.operators import linkage
+
+    s1 = spark.createDataFrame([(f"S1-{i}", "Ram Stores", "1 MG Road, Pune", "India") for i in range(3)], "s1_id string, name string, address string, country string")
+    oth = spark.createDataFrame([(f"S2-{i}", 2, "राम स्टोर्स", "", "India") for i in range(3)], "oth_id string, src int, name string, address string, country string")
+    pairs = oth.selectExpr("name as a", "oth_id").join(s1.selectExpr("name as b", "replace(s1_id, 'S1', 'S2') as oth_id"), "oth_id")
+    known = {r.word: r.latin for r in decide.word_dictionary(pairs, indic=True).collect()}
+    assert known == {"राम": "ram", "स्टोर्स": "stores"}
+    assert {r.name_core for r in linkage.normalised(oth, known).collect()} == {"ram stores"}
+
+
+def test_runner_up_rule(spark):
+    """Similarities come from texts, so the rule is seen in what is kept."""
+    from kinweave.operators import blocking
+
+    s1 = spark.createDataFrame([("S1-1", "alpha beta gamma", "one two three"), ("S1-2", "alpha beta gamme", "one two three"), ("S1-3", "zzz yyy", "nine ten")], "s1_id string, name string, address string").selectExpr("*", "'x' as country", "'s' as state")
+    oth = spark.createDataFrame([("S2-1", "alpha beta gamma", "one two three"), ("S2-2", "qqqq", "wwww")], "oth_id string, name string, address string").selectExpr("*", "'x' as country", "'s' as state")
+    got = sorted((r.s1_id, r.blk_sim, r.blk_second) for r in blocking.candidates(s1, oth).where("oth_id = 'S2-1'").collect())
+    assert [g[0] for g in got] == ["S1-1", "S1-2"] and got[0][1] == 1.0 and got[0][2] == got[1][1] == got[1][2] >= 0.8
+    assert blocking.candidates(s1, oth).where("oth_id = 'S2-2'").count() == 0
+
+
+def test_salted_grams_change_nothing(spark, monkeypatch):
+    from kinweave.operators import blocking
+    from kinweave.plans.queries import _linkage
+
+    s1, oth, _ = _linkage(spark, SF)
+    want = sorted(map(tuple, blocking.candidates(s1, oth).collect()))
+    monkeypatch.setattr(blocking, "SALTED", 7)
+    assert sorted(map(tuple, blocking.candidates(s1, oth).collect())) == want
+
+
+def test_vectorised_kernels_against_plain_ones():
+    import random
+
+    random.seed(3)
+    some = ["".join(random.choice("ab cé") for _ in range(random.randrange(0, 90))).strip() for _ in range(160)]
+    a, b = some[:80], some[80:]
+
+    def plain(x, y):
+        return 2 * fuzzy.lcs(x, y) / (len(x) + len(y)) if x or y else 1.0
+
+    def window(x, y):
+        if not x or not y:
+            return float(not x and not y)
+        sides = [(x, y) if len(x) <= len(y) else (y, x)] + [(y, x)] * (len(x) == len(y))
+        return max(plain(s, t[max(0, k) : k + len(s)]) for s, t in sides for k in range(1 - len(s), len(t)))
+
+    assert fuzzy.indel_many(a, b).tolist() == [plain(x, y) for x, y in zip(a, b)]
+    assert fuzzy.partial_many(a[:25], b[:25]).tolist() == [window(x, y) for x, y in zip(a[:25], b[:25])]
+    assert fuzzy.sorted_many(["b a"], ["a b"]).tolist() == [1.0] and fuzzy.sets_many(["a b c"], ["b c d"])[0] > 0.5
+
+
+def test_files(spark, tmp_path):
+    import zipfile
+
+    from kinweave.sources import files
+
+    with zipfile.ZipFile(tmp_path / "raw.zip", "w") as z:
+        z.writestr("in/train_source1.tsv", 'entity_id\tbusiness_name\tbusiness_address\tcountry\n1\t"A" Ltd\t\tUS\n')
+        z.writestr("__MACOSX/in/train_source1.tsv", "no")
+        z.writestr("in/readme.txt", "no")
+    root = str(tmp_path / "raw")
+    assert len(files.extract_zip(str(tmp_path / "raw.zip"), root)) == 1
+    found = files.raw_files(spark, root, ["train_source1"])
+    row = files.read_tsv(spark, found["train_source1"]).first()
+    assert (row.business_name, row.business_address) == ('"A" Ltd', "")
+    with pytest.raises(FileNotFoundError):
+        files.raw_files(spark, root, ["test_source1"])
+    assert files.artefact(spark, [f"{root}/none", root], "train_source1.tsv").endswith("in/train_source1.tsv")
+    assert files.artefact(spark, [root], "none.tsv", required=False) is None
+    spine = spark.createDataFrame([("S1-2",), ("S1-1",)], "s1_id string")
+    pairs = spark.createDataFrame([("S1-1", "S2-9"), ("S1-1", "S2-10")], "s1_id string, oth_id string")
+    out = files.listed(spine, pairs)
+    files.write_one_tsv(out, f"{root}/out", "source1_entity_id")
+    assert len([f for f in files.listing(spark, f"{root}/out") if "part-" in f]) == 1
+    back = files.read_tsv(spark, f"{root}/out", files.TRUTH)
+    assert sorted(map(tuple, back.collect())) == [("S1-1", "S2-10,S2-9"), ("S1-2", "")]
+    assert files.header_problem(spark, f"{root}/out") == "" and "wanted" in files.header_problem(spark, f"{root}/out", files.RAW)
+    files.copied(spark, f"{root}/out", f"{root}/copy")
+    assert files.read_tsv(spark, f"{root}/copy", files.TRUTH).count() == 2
+    truth = pairs.where("oth_id = 'S2-9'")
+    assert evaluate.macro(files.exploded(back), truth, spine).first().macro_f05 == round((1.25 * 0.5 / (0.125 + 1) + 1) / 2, 6)
+    files.write_tsv(out, f"{root}/many")
+    files.write_parquet(out, f"{root}/p")
+    assert files.read_parquet(spark, f"{root}/p", "source1_entity_id").columns == ["source1_entity_id"]
+    files.write_report({"é": 1}, f"{root}/r.json")
+    assert "é" in open(f"{root}/r.json", encoding="utf-8").read()
+    clean = spark.createDataFrame([("1", "a", ""), ("1", "", None)], "entity_id string, name_core string, state string")
+    got = {r.problem: r.n for r in files.integrity(clean, clean.limit(1), pairs).collect()}
+    assert got == {"missing_rows": 1, "repeated_ids": 1, "nulls": 1, "empty_names": 1, "unknown_in_truth": 2}
+
+
+def test_scores_and_thresholds(spark):
+    from kinweave.operators import model
+
+    s = spark.createDataFrame([(0.1, 0), (0.4, 1), (0.4, 0), (0.9, 1)], "p double, label int")
+    assert model.auc(s).first().auc == 0.875 and model.auc(s.where("label = 1")).first().auc is None
+    sweep = spark.createDataFrame([(0.5, 0.7), (0.6, 0.9), (0.7, 0.9)], "threshold double, macro_f05 double")
+    assert evaluate.best_threshold(sweep).first().threshold == 0.7
+    texts = spark.createDataFrame([("a", "b", "long text", "x"), ("c", "d", "s", "y")], "s1_id string, oth_id string, text_a string, text_b string")
+    ce = model.rescored(texts, lambda x, y: x.str.len() / 10)
+    assert {(r.s1_id, r.ce) for r in ce.collect()} == {("a", 0.9), ("c", 0.1)}
+    pairs = spark.createDataFrame([("a", "b", 0.5), ("e", "f", 0.5)], "s1_id string, oth_id string, p double")
+    assert {r.ce for r in decide.with_second_score(pairs, ce).collect()} == {0.9, None} and {r.ce for r in decide.with_second_score(pairs, None).collect()} == {None}
+
+
+def test_decisions(spark):
+    rows = [("A", "r1", 0.9, 0.2, "us"), ("B", "r1", 0.8, 0.9, "us"), ("C", "r2", 0.75, 0.75, "fr")]
+    s = spark.createDataFrame(rows, "s1_id string, oth_id string, p double, p_ent double, country string")
+    seen = s.where("country = 'us'").select("country")
+    of = lambda df: {(r.s1_id, r.oth_id) for r in df.collect()}
+    assert of(decide.decided(s, False, 0.7, 0.5)) == {("A", "r1"), ("C", "r2")}
+    assert of(decide.decided(s, True, 0.7, 0.5)) == {("B", "r1"), ("C", "r2")}
+    assert of(decide.decided(s, True, 0.7, 0.5, 0.8, seen)) == {("B", "r1")}
+
+
+def test_samples_of_whole_entities(spark):
+    pairs = spark.createDataFrame([(f"S1-{i % 50}", f"S2-{i}") for i in range(400)], "s1_id string, oth_id string")
+    got = evaluate.sampled(pairs, 100)
+    assert got.count() == 96 and {r[1] for r in got.groupBy("s1_id").count().collect()} == {8}
+    assert evaluate.sampled(pairs, 10**6).count() == 400 and evaluate.sampled(pairs, 3).count() == 0
+
+
+def test_learned_linkage_end_to_end(spark, tmp_path):
+    from kinweave.config import Config
+    from kinweave.operators import features, linkage, model
+    from kinweave.plans.queries import _linkage
+
+    s1, oth, truth = _linkage(spark, SF)
+    config = Config(rounds=2, depth=3, city_votes=5, city_purity=0.4, models=f"{tmp_path}/models")
+    trained = linkage.train(spark, s1, oth, truth, config)
+    links = linkage.linked(trained, s1, oth, config)
+    assert evaluate.macro(links, truth, s1).first().macro_f05 > 0.8
+    gain = model.importance(spark, trained.pair_models, list(config.features))
+    assert gain.count() == len(features.FEATURES) and abs(gain.agg({"gain": "sum"}).first()[0] - 1) < 1e-6
+    known = model.load(spark, list(config.features), config.models)
+    assert [m.treeWeights for m in known] == [m.treeWeights for m in trained.pair_models]
+    with pytest.raises(ValueError):
+        model.load(spark, ["blk_sim"], config.models)
+    assert model.load(spark, ["blk_sim"], f"{tmp_path}/none") is None
+    trained.gains = True
+    assert linkage.linked(trained, s1, oth, config).where("p_ent is null").count() == 0
+    assert set(linkage.variants(config)["all"]) - set(linkage.variants(config)["portable"]) == set(config.country_sensitive)
+
+
+def test_leave_one_country_out(spark):
+    from kinweave.config import Config
+    from kinweave.operators import linkage
+
+    rows = [(f"S1-{i}", f"S2-{i}-{k}", "uf"[i % 2], k == 0, 0.9 if k == 0 else 0.1 + 0.01 * (i % 7)) for i in range(120) for k in range(2)]
+    pairs = spark.createDataFrame([(a, b, int(y), x) for a, b, _, y, x in rows], "s1_id string, oth_id string, label int, blk_sim double")
+    spine = spark.createDataFrame(sorted({(a, c) for a, _, c, _, _ in rows} | {("S1-alone", "u")}), "s1_id string, country string")
+    truth = pairs.where("label = 1").select("s1_id", "oth_id")
+    got = linkage.leave_one_country_out(pairs, truth, spine, ["blk_sim"], Config(rounds=2, depth=2), [0.6, 0.7])
+    assert {(r.country, r.trained_on) for r in got.collect()} == {(c, t) for c in "uf" for t in ("others", "own")}
+    assert linkage.unseen_threshold(got).first().macro_f05 > 0.9
+
+
+def test_streaming_linker(spark, tmp_path):
+    from kinweave.plans.queries import _linkage
+    from kinweave.streaming.linker import link_stream
+
+    s1, oth, truth = _linkage(spark, SF)
+    oth.repartition(2).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(oth.schema).parquet(f"{tmp_path}/in")
+    q = link_stream(stream, s1, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    q.processAllAvailable()
+    q.stop()
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.select("oth_id").distinct().count() > 50 and out.join(truth, ["s1_id", "oth_id"]).count() > 50
