@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all nodes share; a temporary one only where none is set (tests)."""
+    """The checkpoint folder that all nodes share. Where none is set, a temporary one in local mode (tests);
+    an error on a cluster, whose nodes would not see it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinweave-checkpoint-"))
     return sc.getCheckpointDir()
 
