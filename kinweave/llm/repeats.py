@@ -48,6 +48,7 @@ TOGETHER, SIDES = 4000, 4
 BATCH = 12_000
 CHUNK = 1 << 20
 
+_HALF = np.uint64(32)
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
@@ -68,11 +69,11 @@ def minimizers(data: np.ndarray, off: np.ndarray, rolling: Rolling, length: int
     n, w = len(data) - SEED + 1, length - SEED + 1
     if len(data) < length:
         return np.zeros(0, np.int64)
-    at = np.arange(n)
-    h = rolling.of(at, at + SEED)
-    # least of each window of w hashes: blocks of w, running minima from both of their ends
-    pad = -n % w
-    padded = np.concatenate([h, np.full(pad, np.uint64(0xFFFFFFFFFFFFFFFF))]).reshape(-1, w)
+    at = np.arange(n, dtype=np.uint64)
+    # half of a hash and the place: the least of a window is that of its first least hash
+    key = (rolling.of(at.astype(np.int64), at.astype(np.int64) + SEED) >> _HALF << _HALF) | at
+    # least of each window of w keys: blocks of w, running minima from both of their ends
+    padded = np.concatenate([key, np.full(-n % w, ~np.uint64(0))]).reshape(-1, w)
     left = np.minimum.accumulate(padded, axis=1).ravel()
     right = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
     windows = n - w + 1
@@ -81,22 +82,8 @@ def minimizers(data: np.ndarray, off: np.ndarray, rolling: Rolling, length: int
     inside = np.ones(windows, bool)
     for b in off[1:-1]:
         inside[max(0, b - length + 1) : b] = False
-    # where windows have equal minima, the first equal hash is the minimizer of the first of them and
-    # stays it until it leaves; so walk over occurrences: place p is a window's minimizer if the window
-    # holds p, its least hash is h[p], and no earlier equal hash is in it
-    starts = np.flatnonzero(inside)
-    if not len(starts):
-        return starts
-    value = least[starts]
-    change = np.ones(len(starts), bool)
-    change[1:] = (value[1:] != value[:-1]) | (starts[1:] != starts[:-1] + 1)
-    found, runs = [], np.flatnonzero(change)
-    for a, b in zip(starts[runs].tolist(), starts[np.append(runs[1:], len(starts)) - 1].tolist()):
-        equal = np.flatnonzero(h[a : b + w] == least[a]) + a
-        # a window [s, s+w) has the first occurrence >= s
-        firsts = equal[np.searchsorted(equal, np.array([a, b]))]
-        found.append(equal[(equal >= firsts[0]) & (equal <= firsts[1])])
-    return np.unique(np.concatenate(found))
+    places = (least[inside] & ((np.uint64(1) << _HALF) - np.uint64(1))).astype(np.int64)
+    return places[np.diff(places, prepend=-1) != 0]
 
 
 def _segments(off: np.ndarray, places: np.ndarray):
