@@ -64,9 +64,10 @@ def _item_seeds(k: int):
                 hashes, off = shingle_hashes(words, per, k)
                 count = np.diff(per)
                 row = np.repeat(np.arange(len(count)), np.diff(off))
-                width = np.minimum(count, k)[row]
-                for n in range(1, k):  # seeds of short items say how long they are
-                    hashes[width == n] = _salted(hashes[width == n], n)
+                for n in np.unique(count[(count > 0) & (count < k)]).tolist():  # seeds of short items say how long they are
+                    own, at_n = shingle_hashes(words, per, n)
+                    short = np.flatnonzero(count == n)
+                    hashes[off[short]] = _salted(own[at_n[short]], n)
                 order = np.lexsort((hashes, row))
                 h, r = hashes[order], row[order]
                 new = np.ones(len(h), bool)
@@ -82,7 +83,7 @@ def _item_seeds(k: int):
     return run
 
 
-def _text_seeds(bitmap, widths: list[int]):
+def _text_seeds(bitmap, widths: list[int], most: int):
     """Rows (a, b, text) to (a, b, seed): the shingles of a text that the bitmap does not rule out."""
 
     def run(batches):
@@ -92,7 +93,7 @@ def _text_seeds(bitmap, widths: list[int]):
             for at, words, per in _tokens(batch.column(2)):
                 for k in widths:
                     hashes, off = shingle_hashes(words, per, k)
-                    if k < max(widths) or k < MIN_MATCH:
+                    if k < most:
                         hashes = _salted(hashes, k)
                     bit = hashes & mask
                     on = np.flatnonzero((held[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
@@ -213,7 +214,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = MIN_MATCH, threshold:
     bitmap = spark.sparkContext.broadcast(held)
     del words, held
     source = docs.select(*_key(F.col("text"), "a", "b"), F.coalesce("text", F.lit("")).alias("text"))
-    found = source.transform(arrow, _text_seeds(bitmap, widths or [k]), "a long, b long, seed long").distinct()
+    found = source.transform(arrow, _text_seeds(bitmap, widths or [k], k), "a long, b long, seed long").distinct()
     # tiles cover at most k tokens for each place of a shared seed
     could = found.join(seeds, "seed").groupBy("a", "b", "ia", "ib").agg((F.sum("places") * F.max("width")).alias("most"), F.max("tokens").alias("tokens"))
     pairs = cut(could.where(F.col("most") >= threshold * F.col("tokens")).select("a", "b", "ia", "ib"))
