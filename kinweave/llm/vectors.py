@@ -173,7 +173,7 @@ def _links(kind):
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         i, j = np.nonzero(x[left] @ x[right].T >= COSINE - 1e-9)
         a, b = left[i], right[j]
-        on = (node[a] != node[b]) & ((side[a] != 2) | (a < b))
+        on = (side[a] != 2) | (a < b)
         a, b = a[on], b[on]
         exact = np.einsum("ij,ij->i", x[a], x[b]) >= COSINE
         a, b = a[exact], b[exact]

@@ -408,10 +408,10 @@ def test_html_templates(spark):
 
 
 def test_html_templates_around_articles(spark):
-    page = "<body><div><p>same menu</p></div><div><h1>title {0}</h1><p>prose {0}</p></div><div><article><p>teaser</p></article></div></body>"
+    page = "<body><div><p>same menu</p></div><div><h1>title {0}</h1><p>prose {0}</p></div><div><article><p>teaser {0}</p></article></div></body>"
     rows = [(i, f"http://h.org/{i}", page.format(i)) for i in range(6)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {i: f"title {i}\nprose {i}\nteaser" for i in range(6)}
+    assert got == {i: f"title {i}\nprose {i}\nteaser {i}" for i in range(6)}
 
 
 def test_html_templates_count_distinct_pages(spark):
