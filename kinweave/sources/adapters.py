@@ -21,7 +21,7 @@ def others(spark: SparkSession, sf_dir: str) -> DataFrame:
     """oth_id, src, name, address, country, state, true_s1: perturbed copies of two of three masters. Every
     rule depends on the id alone: a letter lost, the address blank or joined words."""
     m = masters(spark, sf_dir).withColumn("k", F.substring("s1_id", 4, 20).cast("long")).where("k % 3 < 2")
-    name = F.when(F.col("k") % 4 == 0, F.concat(F.substring("name", 1, 3), F.substring("name", 5, 200))).when(F.col("k") % 4 == 1, F.concat("name", F.lit(" ltd"))).otherwise(F.col("name"))
+    name = F.when(F.col("k") % 4 == 0, F.concat(F.substring("name", 1, 3), F.expr("substring(name, 5)"))).when(F.col("k") % 4 == 1, F.concat("name", F.lit(" ltd"))).otherwise(F.col("name"))
     address = F.when(F.col("k") % 5 == 0, F.lit("")).otherwise(F.col("address"))
     src = (F.lit(2) + F.col("k") % 2).cast("int")
     return m.select(F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.col("k").cast("string")).alias("oth_id"), src.alias("src"), name.alias("name"), address.alias("address"), "country", F.when(F.col("k") % 7 == 0, "").otherwise(F.col("state")).alias("state"), F.col("s1_id").alias("true_s1"))
