@@ -154,7 +154,6 @@ def chunks(offsets: np.ndarray, size: int):
 # ---------------------------------------------------------------- word and shingle hashes
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
 
