@@ -293,7 +293,8 @@ def covered(docs: DataFrame) -> DataFrame:
     or more are covered by repeats, shorter ones are maximal repeats.
     """
     hits, path = stored(docs.select("row", F.coalesce("text", F.lit("")).alias("text")).transform(arrow, _list, _LIST), "seeds")
-    live = few(hits.groupBy("seed").agg(F.sum("times").alias("n")).where("n > 1").select("seed"))
+    # repeated seeds are as many as the data asks for: joined by shuffle at every size
+    live = hits.groupBy("seed").agg(F.sum("times").alias("n")).where("n > 1").select("seed")
     near = cut(hits.join(live, "seed"))
     dropped(docs.sparkSession, path)
     before = F.least(F.col("one.at"), F.lit(BEFORE))
