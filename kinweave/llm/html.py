@@ -71,10 +71,16 @@ def parse(text: str) -> Node:
     their parents, paragraphs and list items end where the next one begins."""
     root = Node("")
     stack, at, n = [root], 0, len(text)
+    last = text.rfind(">")
     while at < n:
-        m = _TOKEN.search(text, at)
-        if m is None:
-            stack[-1].kids.append(text[at:])
+        # behind the last > nothing is a tag, and each < would be tried to the end; a comment may stay open
+        m = _TOKEN.search(text, at, last + 1) if at <= last else None
+        if m is None or (m.end() > last and not text.startswith("<!--", m.start()) and m[0][-1] != ">"):
+            rest = text[at:]
+            stack[-1].kids.append(rest[: rest.find("<!--")] if "<!--" in rest else rest)
+            break
+        if m.end() > last and text.startswith("<!--", m.start()) and not m[0].endswith("-->"):
+            stack[-1].kids.append(text[at : m.start()])
             break
         if m.start() > at:
             stack[-1].kids.append(text[at : m.start()])

@@ -138,3 +138,23 @@ def test_pipeline_against_plain_version(spark, tmp_path):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {i: (r["size"], r.source_size, r.target, r.taken) for i, r in got.items()} == want
     assert all(r.text == plain[i] for i, r in got.items()) and any("<email>" in r.text for r in got.values())
+
+
+def test_extra_columns_of_conversations_and_trees(spark):
+    from kinweave.llm import tokens
+
+    names = ["kind", "seq", "target", "way", "part", "event", "copy", "segments", "n_tokens", "before", "tree"]
+    extra = [f"'x' as {c}" for c in names]
+    c = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (None, None, None, None)], "conv_id long, turn long, role string, text string").selectExpr("*", *extra)
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digests(chat.format_events(chat.logged(c))).collect()}
+    assert got == {1: (2, 1), None: (1, 0)}
+    d = spark.createDataFrame([(1, "two words"), (1, "two words"), (None, None)], "doc_id long, text string")
+    e = d.withColumn("edits", tokens.sample_edit(d["text"])).selectExpr("*", *extra)
+    rows = tokens.token_counts(e, "/opt/tokenizers/byte_bpe_50k.tiktoken").collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_segments) for r in rows) == [("1", 2, 1)] * 2 + [("None", 0, 0)]
+
+
+def test_html_without_an_end():
+    for page, want in (("<a " * 200_000, "<a <a"), ("<p>a</p> tail < b", "a\ntail < b"), ("a <!-- open <p>no</p> x", "a"), ("<p>x</p><!-- > y", "x"), ("a < b > c", "a < b > c")):
+        text = html.blocks(html.measured(html.parse(page)))
+        assert text[:10].strip() == want[:10].strip()
