@@ -140,14 +140,21 @@ def listed(spine: DataFrame, pairs: DataFrame, order: str | None = None, out: st
 def problems(result: DataFrame, spine: DataFrame, known: DataFrame, ids: str = "matched_entity_ids") -> DataFrame:
     """(problem, n): counts of what a submission file must not have: repeated, missing or unknown entities, repeated
     ids in a list, unknown ids."""
-    p = exploded(result, ids=ids)
+    # lists are long: they are checked row by row, and only entities with several rows pair by pair
+    size = F.size(F.filter(F.split(ids, ","), lambda x: x != ""))
+    different = F.size(F.array_distinct(F.filter(F.split(ids, ","), lambda x: x != "")))
+    again = result.groupBy("source1_entity_id").agg(F.count("*").alias("rows")).where("rows > 1").select("source1_entity_id")
+    within = result.agg(F.coalesce(F.sum((size - different).cast("long")), F.lit(0)).alias("n"))
+    several = exploded(result.join(again, "source1_entity_id", "left_semi").withColumn(ids, F.array_join(F.array_distinct(F.split(ids, ",")), ",")), ids=ids)
+    across = several.groupBy("s1_id", "oth_id").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n"))
+    listed_ids = exploded(result, ids=ids).groupBy("oth_id").count()
     one = F.col("s1_id") == F.col("source1_entity_id")
     found = {
         "repeated_entities": result.agg((F.count("*") - F.countDistinct("source1_entity_id")).alias("n")),
         "missing_entities": spine.select("s1_id").join(result, one, "left_anti").agg(F.count("*").alias("n")),
         "unknown_entities": result.join(spine.select("s1_id"), one, "left_anti").agg(F.count("*").alias("n")),
-        "repeated_ids": p.groupBy("s1_id", "oth_id").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n")),
-        "unknown_ids": p.join(known.select("oth_id"), "oth_id", "left_anti").agg(F.count("*").alias("n")),
+        "repeated_ids": within.unionByName(across).agg(F.sum("n").alias("n")),
+        "unknown_ids": listed_ids.join(known.select("oth_id"), "oth_id", "left_anti").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")),
     }
     parts = [d.select(F.lit(k).alias("problem"), F.col("n").cast("long").alias("n")) for k, d in found.items()]
     return reduce(DataFrame.unionByName, parts)
