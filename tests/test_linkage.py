@@ -307,3 +307,42 @@ def test_streaming_linker(spark, tmp_path):
     q.stop()
     out = spark.read.parquet(f"{tmp_path}/out")
     assert out.count() == out.select("oth_id").distinct().count() > 50 and out.join(truth, ["s1_id", "oth_id"]).count() > 50
+
+
+def test_blocking_sends_no_products(spark, tmp_path):
+    """1,200 masters and 800 records share grams: before, each pair of shared grams was a row that went through an exchange."""
+    from kinweave.operators import blocking
+    from kinweave.sources import adapters
+
+    spark.createDataFrame([(i, f"alpha beta gamma delta one two street {i} road", "en") for i in range(1200)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    s1 = adapters.masters(spark, str(tmp_path))
+    tracker = spark._jsc.sc().statusStore()
+    sent = lambda: sum(s.shuffleWriteRecords() for s in _stages(spark, tracker))
+    before = sent()
+    assert blocking.candidates(s1, adapters.copies(s1)).count() >= 800
+    assert sent() - before < 100_000
+
+
+def _stages(spark, store):
+    found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_rare_words_look_names_up(spark):
+    """Repeats, unknown words, names without words and null ones."""
+    from kinweave.operators import features
+
+    idf = spark.createDataFrame([("a", 0.5), ("b", 0.25)], "word string, idf double")
+    p = spark.createDataFrame([("1", "x", "a a b", "b c"), ("2", "x", "", "a"), ("3", "x", "", ""), ("4", "x", "a", None)], "s1_id string, oth_id string, name_core_1 string, name_core_2 string")
+    got = {r.s1_id: (r.rw1_max, r.rw1_sum, r.rw2_max, r.rw2_sum, r.rw1_share) for r in features.rare_words(p, idf).collect()}
+    assert got == {"1": (0.5, 0.5, 1.0, 1.0, 0.4), "2": (0.0, 0.0, 0.5, 0.5, 0.0)}
+
+
+def test_trigram_kernel_is_the_expression(spark):
+    from pyspark.sql import functions as F
+
+    from kinweave.operators import features
+
+    p = spark.createDataFrame([("abc abd", "ABC x"), ("", ""), ("a", "a"), ("é ab", "ab  é"), ("aaaa", "aaa")], "a string, b string")
+    rows = p.select(features.trigram_cosine(F.col("a"), F.col("b")).alias("x"), fuzzy.kernels()["trigram"](F.lower("a"), F.lower("b")).alias("y")).collect()
+    assert all(abs(r.x - r.y) < 1e-12 for r in rows)
