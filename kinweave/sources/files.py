@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import json
 import zipfile
+from collections import Counter
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import written
+
 RAW = "entity_id string, business_name string, business_address string, country string"
+#: Pieces of lists that a task counts before it tells the counts of their ids.
+TALLIED = 200_000
+#: Repeated entities that are sent to all tasks.
+FEW = 100_000
 TRUTH = "source1_entity_id string, matched_entity_ids string"
 
 
@@ -137,24 +146,61 @@ def listed(spine: DataFrame, pairs: DataFrame, order: str | None = None, out: st
     return spine.select("s1_id").distinct().join(own, "s1_id", "left").select(F.col("s1_id").alias("source1_entity_id"), F.coalesce(out, F.lit("")).alias(out))
 
 
+def _tallied(batches):
+    """How often each id stands in comma lists; and without an id, how many of them a list repeats.
+
+    Lists share long runs of ids: a list is cut after each id that ends in 7, and a piece is taken apart once."""
+    codes, pieces, times, more = {"": 0}, {}, Counter(), 0
+
+    def coded(ids):
+        return np.array([codes.setdefault(x, len(codes)) for x in ids], np.int64)
+
+    def told():
+        n = np.zeros(len(codes), np.int64)
+        for kind, many in times.items():
+            np.add.at(n, pieces[kind], many)
+        ids, n = list(codes)[1:], n[1:]
+        return pa.RecordBatch.from_arrays([pa.array([*ids, None], pa.string()), pa.array([*n.tolist(), more], pa.int64())], ["oth_id", "n"])
+
+    place = np.zeros(0, np.int64)
+    for b in batches:
+        for text in b.column(0):
+            own = (text.as_py() or "").split("7,")
+            own[-1] = (own[-1],)  # the end of the list: nothing was cut off
+            for x in {x for x in own if x not in pieces}:
+                pieces[x] = coded(x[0].split(",") if isinstance(x, tuple) else f"{x}7".split(","))
+            times.update(own)
+            at = np.concatenate([pieces[x] for x in own])
+            at = at[at > 0]
+            if len(codes) > len(place):
+                place = np.zeros(2 * len(codes), np.int64)
+            place[at] = np.arange(len(at))
+            if (place[at] != np.arange(len(at))).any():
+                more += len(at) - len(np.unique(at))
+            if len(pieces) > TALLIED:
+                yield told()
+                codes, pieces, times, more = {"": 0}, {}, Counter(), 0
+    yield told()
+
+
 def problems(result: DataFrame, spine: DataFrame, known: DataFrame, ids: str = "matched_entity_ids") -> DataFrame:
     """(problem, n): counts of what a submission file must not have: repeated, missing or unknown entities, repeated
     ids in a list, unknown ids."""
-    # lists are long: they are checked row by row, and only entities with several rows pair by pair
-    size = F.size(F.filter(F.split(ids, ","), lambda x: x != ""))
-    different = F.size(F.array_distinct(F.filter(F.split(ids, ","), lambda x: x != "")))
-    again = result.groupBy("source1_entity_id").agg(F.count("*").alias("rows")).where("rows > 1").select("source1_entity_id")
-    within = result.agg(F.coalesce(F.sum((size - different).cast("long")), F.lit(0)).alias("n"))
+    # lists are long: all are gone through once, as texts; only entities with several rows are counted pair by pair
+    counts = result.select(ids).mapInArrow(_tallied, "oth_id string, n long")
+    listed_ids = written(counts.groupBy("oth_id").agg(F.sum("n").alias("count")))
+    within = listed_ids.where("oth_id is null").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
+    again = written(result.groupBy("source1_entity_id").agg(F.count("*").alias("rows")).where("rows > 1").select("source1_entity_id"))
+    again = F.broadcast(again) if again.limit(FEW + 1).count() <= FEW else again  # else the lists of all would be sent
     several = exploded(result.join(again, "source1_entity_id", "left_semi").withColumn(ids, F.array_join(F.array_distinct(F.split(ids, ",")), ",")), ids=ids)
     across = several.groupBy("s1_id", "oth_id").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n"))
-    listed_ids = exploded(result, ids=ids).groupBy("oth_id").count()
     one = F.col("s1_id") == F.col("source1_entity_id")
     found = {
         "repeated_entities": result.agg((F.count("*") - F.countDistinct("source1_entity_id")).alias("n")),
         "missing_entities": spine.select("s1_id").join(result, one, "left_anti").agg(F.count("*").alias("n")),
         "unknown_entities": result.join(spine.select("s1_id"), one, "left_anti").agg(F.count("*").alias("n")),
         "repeated_ids": within.unionByName(across).agg(F.sum("n").alias("n")),
-        "unknown_ids": listed_ids.join(known.select("oth_id"), "oth_id", "left_anti").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")),
+        "unknown_ids": listed_ids.where("oth_id is not null").join(known.select("oth_id"), "oth_id", "left_anti").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")),
     }
     parts = [d.select(F.lit(k).alias("problem"), F.col("n").cast("long").alias("n")) for k, d in found.items()]
     return reduce(DataFrame.unionByName, parts)

@@ -1,12 +1,14 @@
 import unicodedata
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
 from kinweave.functions import fuzzy, text
 from kinweave.operators import decide, evaluate
 from kinweave.plans.queries import ORACLES, QUERIES
+from kinweave.sources import files
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -346,3 +348,20 @@ def test_trigram_kernel_is_the_expression(spark):
     p = spark.createDataFrame([("abc abd", "ABC x"), ("", ""), ("a", "a"), ("é ab", "ab  é"), ("aaaa", "aaa")], "a string, b string")
     rows = p.select(features.trigram_cosine(F.col("a"), F.col("b")).alias("x"), fuzzy.kernels()["trigram"](F.lower("a"), F.lower("b")).alias("y")).collect()
     assert all(abs(r.x - r.y) < 1e-12 for r in rows)
+
+
+def test_submission_problems_read_lists_once(spark, monkeypatch):
+    """Repeats within a list, across the rows of an entity and unknown ids; blanks count for nothing. Lists neither go
+    through an exchange nor are taken apart by the plan."""
+    known = [f"S2-{i}" for i in range(40)]
+    rows = [("a", ",".join(known)), ("b", ",".join([*known[10:], "S2-17", "S2-17", "S9-7"])), ("c", "S2-7,,S2-7,"), ("c", "S2-7"), ("d", ""), ("d", None), ("z", "S9-1")]
+    result = spark.createDataFrame(rows, "source1_entity_id string, matched_entity_ids string")
+    spine = spark.createDataFrame([(x,) for x in "abcde"], "s1_id string")
+    found = files.problems(result, spine, spark.createDataFrame([(x,) for x in known], "oth_id string"))
+    assert {r.problem: r.n for r in found.collect()} == {"repeated_entities": 2, "missing_entities": 1, "unknown_entities": 1, "repeated_ids": 4, "unknown_ids": 2}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode") <= 1 and "rightHint=(strategy=broadcast)" in plan
+    monkeypatch.setattr(files, "TALLIED", 3)
+    told = [t for b in files._tallied([pa.RecordBatch.from_arrays([pa.array([ids for _, ids in rows], pa.string())], ["ids"])]) for t in b.to_pylist()]
+    count = lambda x: sum(t["n"] for t in told if t["oth_id"] == x)
+    assert len([t for t in told if t["oth_id"] is None]) > 1 and (count(None), count("S2-7"), count("S2-17"), count("S2-39"), count("S9-7")) == (3, 4, 4, 2, 1)
