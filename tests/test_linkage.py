@@ -1,12 +1,14 @@
+import threading
 import unicodedata
 
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from kinweave.functions import fuzzy, text
-from kinweave.operators import decide, evaluate
+from kinweave.operators import decide, evaluate, linkage, model
 from kinweave.plans.queries import ORACLES, QUERIES
 from kinweave.sources import files
 
@@ -365,3 +367,18 @@ def test_submission_problems_read_lists_once(spark, monkeypatch):
     told = [t for b in files._tallied([pa.RecordBatch.from_arrays([pa.array([ids for _, ids in rows], pa.string())], ["ids"])]) for t in b.to_pylist()]
     count = lambda x: sum(t["n"] for t in told if t["oth_id"] == x)
     assert len([t for t in told if t["oth_id"] is None]) > 1 and (count(None), count("S2-7"), count("S2-17"), count("S2-39"), count("S9-7")) == (3, 4, 4, 2, 1)
+
+
+def test_models_are_fitted_at_the_same_time(spark, monkeypatch):
+    """Both folds wait for each other: before, the first fit had to end before the second began."""
+    both = threading.Barrier(2, timeout=20)
+    monkeypatch.setattr(model, "fit", lambda t, **how: (both.wait(), t.count())[1])
+    assert model.fitted([spark.range(3), spark.range(5)]) == [3, 5]
+
+
+def test_records_learned_from_are_not_made_again(spark, monkeypatch):
+    a = spark.createDataFrame([("m", "en")], "s1_id string, country_clean string")
+    b, pairs = spark.createDataFrame([("o",)], "oth_id string"), spark.createDataFrame([("m", "o", 0.75)], "s1_id string, oth_id string, p double")
+    monkeypatch.setattr(model, "ensemble", lambda models, df, names: df)
+    trained = linkage.Trained([], [], None, 0.5, 0.5, False, a.select(F.col("country_clean").alias("country")), learned=(a, b, pairs))
+    assert [tuple(r) for r in linkage.linked(trained, None, None).collect()] == [("m", "o", 0.75, None)]
